@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendguard import columns as C
-from spendguard.scratch import materialise
+from spendguard.scratch import materialise, session_conf
 
 MODEL_BYTES_LIMIT = 64 << 20
 CHUNK_ROWS = 50_000
@@ -23,23 +23,34 @@ def map_with_model(
     row_bytes: int,
     bytes_limit: int = MODEL_BYTES_LIMIT,
     chunk_rows: int = CHUNK_ROWS,
+    combine: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame] | None = None,
 ) -> DataFrame:
     """Run `fn(rows, model rows)` for each category; categories without a model give no rows.
 
     When the whole model (`row_bytes` × its rows) is below the limit it is sent to every executor once
     and the rows are not shuffled.  Otherwise the rows are cut into chunks of about `chunk_rows` per
     category and each chunk meets only the model rows of its own category.
+
+    With `combine`, the results of one category are merged inside each task before they leave it.
     """
     spark = rows.sparkSession
     if model.count() * row_bytes <= bytes_limit:
-        parts = {k: part for k, part in model.toPandas().groupby(C.CATEGORY_KEY, sort=False)}
+        with session_conf(spark, spark__sql__execution__arrow__pyspark__enabled="true"):
+            parts = dict(list(model.toPandas().groupby(C.CATEGORY_KEY, sort=False)))
         shared = spark.sparkContext.broadcast(parts)
 
         def per_batch(batches):
+            held: dict[str, pd.DataFrame] = {}
             for batch in batches:
                 for key, part in batch.groupby(C.CATEGORY_KEY, sort=False):
-                    if key in shared.value:
-                        yield fn(part, shared.value[key])
+                    if key not in shared.value:
+                        continue
+                    out = fn(part, shared.value[key])
+                    if combine is None:
+                        yield out
+                    else:
+                        held[key] = combine(held[key], out) if key in held else out
+            yield from held.values()
 
         return rows.mapInPandas(per_batch, schema)
 

@@ -139,10 +139,10 @@ def shares_by_category(buckets: DataFrame, space: Space) -> DataFrame:
         ).alias(f"m_{b}")
         for b in space.buckets
     ]
-    dense = [
-        F.transform(
-            F.sequence(F.lit(0), F.lit(size - 1)), lambda i, b=b: F.coalesce(F.col(f"m_{b}")[i], F.lit(0.0))
-        ).alias(f"share_{b}")
-        for b, size in zip(space.buckets, space.sizes)
-    ]
+
+    def dense_shares(b: str, size: int):
+        share = lambda i: F.coalesce(F.try_element_at(F.col(f"m_{b}"), i), F.lit(0.0))
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), share).alias(f"share_{b}")
+
+    dense = [dense_shares(b, size) for b, size in zip(space.buckets, space.sizes)]
     return buckets.groupBy(C.CATEGORY_KEY).agg(*spread).select(C.CATEGORY_KEY, *dense)

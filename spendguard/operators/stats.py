@@ -106,7 +106,11 @@ def kde_grid(
             {"curve": part[C.CATEGORY_KEY].iloc[0], "i": np.arange(points), "x": at, "part": total / (n * h * np.sqrt(2 * np.pi))}
         )
 
-    sums = map_with_model(weighted, model, partial, "curve string, i int, x double, part double", 40)
+    def add(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return a.assign(part=a["part"].to_numpy() + b["part"].to_numpy())
+
+    schema = "curve string, i int, x double, part double"
+    sums = map_with_model(weighted, model, partial, schema, 40, combine=add)
     names = F.split("curve", "\u0001")
     return sums.groupBy("curve", "i", "x").agg(F.sum("part").alias("density")).select(
         *[names[j].alias(k) for j, k in enumerate([*keys, group])], F.col("i").alias("grid_index"), "x", "density"
