@@ -25,8 +25,9 @@ def read_expenses(
     encoding: str = "ISO-8859-1",
     columns: tuple[str, ...] = RAW_COLUMNS,
     with_ids: bool = True,
+    year_pattern: str = r"_(\d{4})\.csv",
 ) -> DataFrame:
-    """Read yearly delimited files as text columns, with `year` taken from the file name.
+    """Read yearly delimited files as text columns, with `year` taken from the file path.
 
     Rows with too many fields are skipped and short rows are padded with null.  `record_id` is a hash
     of file, columns and duplicate number, so it is the same in every run.
@@ -41,12 +42,12 @@ def read_expenses(
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .csv(path)
-        .withColumn("_file", F.col("_metadata.file_name"))
+        .withColumn("_file", F.col("_metadata.file_path"))
     )
     too_long = F.coalesce(_field_count(F.col(_CORRUPT), sep) > len(columns), F.lit(False))
     rows = (
         raw.where(~too_long)
-        .withColumn(C.YEAR, F.regexp_extract("_file", r"_(\d{4})\.csv", 1).try_cast("int"))
+        .withColumn(C.YEAR, F.regexp_extract("_file", year_pattern, 1).try_cast("int"))
         .drop(_CORRUPT)
     )
     if not with_ids:
