@@ -137,6 +137,7 @@ def csv_ingestion(spark, sf_dir):
         .select(line.alias(header), F.concat(F.lit("expenses_"), F.year("o_orderdate"), F.lit(".csv")).alias("file"))
         .write.partitionBy("file")
         .option("header", True)
+        .option("sep", "\u0001")
         .option("quote", "")
         .option("encoding", "ISO-8859-1")
         .csv(root)
@@ -187,35 +188,35 @@ def excluded_years(spark, sf_dir):
 
 @query(
     "group_means",
-    f"WITH {FEATURES_CTE} SELECT record_id, split, round(mean_value, 4) AS mean_value FROM feat",
+    f"WITH {FEATURES_CTE} SELECT record_id, split, round(mean_value, 7) AS mean_value FROM feat",
 )
 def group_means(spark, sf_dir):
-    return order_features(spark, sf_dir).select("record_id", "split", F.round("mean_value", 4).alias("mean_value"))
+    return order_features(spark, sf_dir).select("record_id", "split", F.round("mean_value", 7).alias("mean_value"))
 
 
 @query(
     "group_means_over_rows",
     f"""WITH {LINEITEM_CTE} SELECT verba, conta, round(valor_adjusted, 4) AS valor_adjusted,
-    round(avg(valor_adjusted) OVER (PARTITION BY verba, conta), 4) AS mean_value FROM adj""",
+    round(avg(valor_adjusted) OVER (PARTITION BY verba, conta), 7) AS mean_value FROM adj""",
 )
 def group_means_over_rows(spark, sf_dir):
     rows = features.group_mean_over_rows(adjusted_lineitems(spark, sf_dir), PARAMS)
     return rows.select(
-        "verba", "conta", F.round("valor_adjusted", 4).alias("valor_adjusted"), F.round("mean_value", 4).alias("mean_value")
+        "verba", "conta", F.round("valor_adjusted", 4).alias("valor_adjusted"), F.round("mean_value", 7).alias("mean_value")
     )
 
 
 @query(
     "model_features",
     f"""WITH {BUCKETS_CTE} SELECT record_id, category_key, split, conta, favorecido, year,
-    round(valor_adjusted, 4) AS valor_adjusted, month, quarter, day_of_week, round(mean_value, 4) AS mean_value,
+    round(valor_adjusted, 4) AS valor_adjusted, month, quarter, day_of_week, round(mean_value, 7) AS mean_value,
     fav_bucket, cta_bucket FROM fb""",
 )
 def model_features(spark, sf_dir):
     return order_features(spark, sf_dir).select(
         "record_id", "category_key", "split", "conta", "favorecido", "year",
         F.round("valor_adjusted", 4).alias("valor_adjusted"), "month", "quarter", "day_of_week",
-        F.round("mean_value", 4).alias("mean_value"), "fav_bucket", "cta_bucket",
+        F.round("mean_value", 7).alias("mean_value"), "fav_bucket", "cta_bucket",
     )
 
 

@@ -174,14 +174,14 @@ def score_thresholds(spark, sf_dir):
     return found.select("category_key", "model", *[F.round(c, 6).alias(c) for c in ("threshold", "score_min", "score_max")])
 
 
-def _vote_sql(scale: str) -> str:
+def _vote_sql(scale: str, need: str) -> str:
     return f"""WITH {_LIMITS},
     s AS (SELECT category_key, record_id, model, CAST(score > threshold AS INTEGER) AS flag, {scale} AS score
         FROM raw_q JOIN lims USING (category_key, model) WINDOW w AS (PARTITION BY category_key, model)),
     v AS (SELECT category_key, record_id, max(CASE WHEN model = 'knn' THEN flag END) AS anomaly_knn, max(CASE WHEN model = 'lof' THEN flag END) AS anomaly_lof,
         max(CASE WHEN model = 'knn' THEN score END) AS score_knn, max(CASE WHEN model = 'lof' THEN score END) AS score_lof FROM s GROUP BY ALL)
     SELECT category_key, record_id, anomaly_knn, anomaly_lof, round(score_knn, 5) AS score_knn, round(score_lof, 5) AS score_lof,
-    CAST(anomaly_knn + anomaly_lof {{need}} AS INTEGER) AS ensemble_flag, round((score_knn + score_lof) / 2, 5) AS ensemble_score FROM v"""
+    CAST(anomaly_knn + anomaly_lof {need} AS INTEGER) AS ensemble_flag, round((score_knn + score_lof) / 2, 5) AS ensemble_score FROM v"""
 
 
 def _vote(spark, sf_dir, frozen: bool, strategy: str):
@@ -198,7 +198,7 @@ def _vote(spark, sf_dir, frozen: bool, strategy: str):
 
 @query(
     "neighbour_vote",
-    _vote_sql("(score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w)").format(need="= 2"),
+    _vote_sql("(score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w)", "= 2"),
 )
 def neighbour_vote(spark, sf_dir):
     return _vote(spark, sf_dir, False, "consensus")
@@ -206,7 +206,7 @@ def neighbour_vote(spark, sf_dir):
 
 @query(
     "neighbour_vote_frozen",
-    _vote_sql("greatest(0.0, least(1.0, (score - score_min) / (score_max - score_min)))").format(need=">= 1"),
+    _vote_sql("greatest(0.0, least(1.0, (score - score_min) / (score_max - score_min)))", ">= 1"),
 )
 def neighbour_vote_frozen(spark, sf_dir):
     return _vote(spark, sf_dir, True, "any")
@@ -214,7 +214,7 @@ def neighbour_vote_frozen(spark, sf_dir):
 
 @query(
     "silhouette",
-    f"""WITH {POINTS_CTE}, l AS (SELECT *, CAST(z_valor_adjusted > 1 AS INTEGER) AS label FROM pts WHERE split = 'infer'),
+    f"""WITH {POINTS_CTE}, l AS (SELECT *, CAST(z_valor_adjusted > -0.9 AS INTEGER) AS label FROM pts WHERE split = 'infer'),
     p AS (SELECT q.category_key AS category_key, q.record_id AS record_id, q.label AS a, r.label AS b, sum({DISTANCE}) AS s FROM l q JOIN l r ON q.category_key = r.category_key GROUP BY ALL),
     n AS (SELECT category_key, label, count(*) AS n FROM l GROUP BY ALL),
     m AS (SELECT p.category_key AS category_key, record_id, sum(CASE WHEN a = b THEN s / (n - 1) END) AS inside, sum(CASE WHEN a <> b THEN s / n END) AS outside
@@ -223,7 +223,7 @@ def neighbour_vote_frozen(spark, sf_dir):
 )
 def silhouette_of_labels(spark, sf_dir):
     labelled = order_points(spark, sf_dir).where("split = 'infer'").withColumn(
-        "labels", F.array((F.col("z_valor_adjusted") > 1).cast("int"))
+        "labels", F.array((F.col("z_valor_adjusted") > -0.9).cast("int"))
     )
     return silhouette(labelled, SPACE).withColumn("silhouette", F.round("silhouette", 6))
 

@@ -133,6 +133,8 @@ def dense_points(points: np.ndarray, shares: dict, space: Space) -> np.ndarray:
 
 def shares_by_category(buckets: DataFrame, space: Space) -> DataFrame:
     """One row per category with the bucket shares of every hashed feature as dense arrays."""
+    if not space.buckets:
+        return buckets.select(C.CATEGORY_KEY).distinct()
     spread = [
         F.map_from_entries(
             F.collect_list(F.when(F.col("feature") == b, F.struct("bucket", "share")))
