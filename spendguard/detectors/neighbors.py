@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendguard import columns as C
-from spendguard.detectors.space import Space, squared_distances
+from spendguard.detectors.space import Space, paired_distances, rough_distances
 from spendguard.scratch import materialise, session_conf
 
 BLOCK_POINTS = 512
@@ -130,36 +130,45 @@ def _nearest_in_pairs(k: int, n_numeric: int, n_buckets: int, exclude_self: bool
                         row.category_key, row.q_block, ids,
                         np.full((len(ids), k), np.inf), np.full((len(ids), k), -1, np.int64),
                     )
-                _, _, ids, dist, near = state
                 r_ids = np.frombuffer(row.r_ids, np.int64)
                 r_pts = np.frombuffer(row.r_pts, np.float64).reshape(len(r_ids), width)
-                d = squared_distances(pts, r_pts, n_numeric, n_buckets)
-                if exclude_self:
-                    d[ids[:, None] == r_ids[None, :]] = np.inf
-                closer = np.flatnonzero(d.min(axis=1) <= dist[:, -1])
-                if not len(closer):
-                    continue
-                all_d = np.hstack([dist[closer], d[closer]])
-                all_i = np.hstack([near[closer], np.broadcast_to(r_ids, (len(closer), len(r_ids)))])
-                best = np.lexsort((all_i, all_d), axis=1)[:, :k] if all_d.shape[1] <= 4 * k else _smallest(all_d, all_i, k)
-                dist[closer] = np.take_along_axis(all_d, best, 1)
-                near[closer] = np.where(
-                    np.isinf(dist[closer]), -1, np.take_along_axis(all_i, best, 1)
-                )
+                _, _, ids, dist, near = state
+                _take_nearer(pts, ids, dist, near, r_pts, r_ids, n_numeric, n_buckets, exclude_self)
         if state is not None:
             yield emit(state)
 
     return run
 
 
-def _smallest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k smallest (distance, id) pairs of each row, in order."""
-    cut = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-    # Rows with ties at the cut are few; all candidates up to the cut are ranked by (distance, id).
-    room = int((d <= cut).sum(axis=1).max())
-    cand = np.argpartition(d, min(room, d.shape[1]) - 1, axis=1)[:, :room] if room < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
-    order = np.lexsort((np.take_along_axis(ids, cand, 1), np.take_along_axis(d, cand, 1)), axis=1)[:, :k]
-    return np.take_along_axis(cand, order, 1)
+def _take_nearer(pts, ids, dist, near, r_pts, r_ids, n_numeric, n_buckets, exclude_self) -> None:
+    """Merge one reference block into the k best lists `dist`, `near` of a query block.
+
+    Rough distances pick the pairs that can matter; only those are measured exactly.
+    """
+    k = dist.shape[1]
+    rough, error = rough_distances(pts, r_pts, n_numeric, n_buckets)
+    if exclude_self:
+        rough[ids[:, None] == r_ids[None, :]] = np.inf
+    worst = dist[:, -1]
+    rows = np.flatnonzero(rough.min(axis=1) <= worst + error)
+    if not len(rows):
+        return
+    rough, error = rough[rows], error[rows]
+    limit = worst[rows]
+    if rough.shape[1] > k:
+        limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1])
+    i, j = np.nonzero(np.isfinite(rough) & (rough <= (limit + 2 * error)[:, None]))
+    exact = paired_distances(pts[rows[i]], r_pts[j], n_numeric, n_buckets)
+    # The lists so far and the new pairs, ordered by query, distance and reference.
+    row = np.concatenate([np.repeat(np.arange(len(rows)), k), i])
+    d = np.concatenate([dist[rows].ravel(), exact])
+    who = np.concatenate([near[rows].ravel(), r_ids[j]])
+    order = np.lexsort((who, d, row))
+    row = row[order]
+    place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(rows)))[row]
+    kept = place < k
+    dist[rows[row[kept]], place[kept]] = d[order][kept]
+    near[rows[row[kept]], place[kept]] = who[order][kept]
 
 
 _PARTIAL = f"{C.CATEGORY_KEY} string, block bigint, {C.RECORD_ID} bigint, dist array<double>, near array<bigint>"

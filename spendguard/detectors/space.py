@@ -104,16 +104,55 @@ def apply_scaler(rows: DataFrame, scaler: DataFrame, buckets: DataFrame, space:
 
 def squared_distances(a: np.ndarray, b: np.ndarray, n_numeric: int, n_buckets: int) -> np.ndarray:
     """Distances² between two blocks of points laid out as `Space.point`."""
-    d = np.zeros((len(a), len(b)))
+    d, step = np.zeros((len(a), len(b))), np.empty((len(a), len(b)))
+    columns = np.ascontiguousarray(b.T)
     for j in range(n_numeric):
-        diff = a[:, j, None] - b[None, :, j]
+        np.subtract(a[:, j, None], columns[j], out=step)
+        np.multiply(step, step, out=step)
+        d += step
+    for j in range(n_numeric, n_numeric + n_buckets):
+        w = j + n_buckets
+        np.add(a[:, w, None], columns[w], out=step)
+        np.multiply(step, a[:, j, None] != columns[j], out=step)
+        d += step
+    return d
+
+
+def distance_strips(a: np.ndarray, b: np.ndarray, n_numeric: int, n_buckets: int):
+    """Strips of rows of the distance² matrix, small enough to stay in the processor cache."""
+    rows = max(8, 65536 // max(len(b), 1))
+    for start in range(0, len(a), rows):
+        strip = slice(start, start + rows)
+        yield strip, squared_distances(a[strip], b, n_numeric, n_buckets)
+
+
+def paired_distances(a: np.ndarray, b: np.ndarray, n_numeric: int, n_buckets: int) -> np.ndarray:
+    """Distances² between row i of `a` and row i of `b`, with the same rounding as `squared_distances`."""
+    d = np.zeros(len(a))
+    for j in range(n_numeric):
+        diff = a[:, j] - b[:, j]
         d += diff * diff
     for j in range(n_numeric, n_numeric + n_buckets):
         w = j + n_buckets
-        d += np.where(a[:, j, None] == b[None, :, j], 0.0, a[:, w, None] + b[None, :, w])
+        d += np.where(a[:, j] == b[:, j], 0.0, a[:, w] + b[:, w])
     return d
 
 
+def rough_distances(a: np.ndarray, b: np.ndarray, n_numeric: int, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances² by matrix product, and a bound per row of `a` on their rounding error."""
+    x, y = a[:, :n_numeric], b[:, :n_numeric]
+    size_a, size_b = (x * x).sum(1), (y * y).sum(1)
+    for j in range(n_numeric + n_buckets, n_numeric + 2 * n_buckets):
+        size_a, size_b = size_a + a[:, j], size_b + b[:, j]
+    d = x @ (-2.0 * y.T)
+    d += size_a[:, None]
+    d += size_b
+    for j in range(n_numeric, n_numeric + n_buckets):
+        # Points in the same bucket have the same weight, so both shares come off again.
+        d -= (2.0 * a[:, j + n_buckets])[:, None] * (a[:, j, None].astype(np.int32) == b[:, j].astype(np.int32))
+    return d, 1e-12 * (size_a + size_b.max()) + 1e-300
+
+
 def dense_points(points: np.ndarray, shares: dict, space: Space) -> np.ndarray:
     """Standardised matrix with the hashed columns spelled out (bounded blocks only).
 

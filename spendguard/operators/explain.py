@@ -28,7 +28,7 @@ SHAP_SCHEMA = (
 
 
 def _paths(tree: dict, offsets: np.ndarray, n_numeric: int) -> list[dict]:
-    """Every leaf with its value and, per feature on its path, the coverage share and the tests.
+    """Every leaf with its value and, per feature on its path, the coverage share and the steps taken.
 
     A hashed feature is one feature per bucket, as in the expanded matrix.
     """
@@ -41,52 +41,62 @@ def _paths(tree: dict, offsets: np.ndarray, n_numeric: int) -> list[dict]:
             continue
         f = feature[node]
         name = int(f) if f < n_numeric else int(offsets[f - n_numeric] + cut[node])
-        for step, to in enumerate((child[node], child[node] + 1)):
-            share, tests = path.get(name, (1.0, ()))
-            grown = {**path, name: (share * size[to] / size[node], (*tests, (int(f), float(cut[node]), step == 0)))}
+        for first, to in ((True, child[node]), (False, child[node] + 1)):
+            share, steps = path.get(name, (1.0, ()))
+            grown = {**path, name: (share * size[to] / size[node], (*steps, (node, first)))}
             open_nodes.append((int(to), grown))
     return leaves
 
 
-def _passes(data: np.ndarray, tests, n_numeric: int) -> np.ndarray:
-    ok = np.ones(len(data), dtype=bool)
-    for f, at, first in tests:
-        held = data[:, f] <= at if f < n_numeric else data[:, f] != at
-        ok &= held == first
-    return ok
-
-
 def tree_shap(data: np.ndarray, tree: dict, offsets: np.ndarray, n_numeric: int, width: int) -> tuple[np.ndarray, float]:
     """Shapley values (rows × features) of one tree's path length, and its mean over the tree's sample.
 
     For one leaf the game is a product over the features of its path, so the sum over feature subsets is
-    read off a polynomial of degree path length minus one.
+    read off a polynomial of degree path length minus one.  Leaves with equally many features are
+    handled together.
     """
+    leaves = _paths(tree, offsets, n_numeric)
+    base = sum(leaf["value"] * leaf["share"] for leaf in leaves)
+    feature, cut = np.asarray(tree["feature"]), np.asarray(tree["cut"])
+    x = data[:, np.maximum(feature, 0)]
+    holds = np.where(feature < n_numeric, x <= cut, x != cut).astype(float)
+    by_step = {True: holds, False: 1.0 - holds}
     phi = np.zeros((len(data), width))
-    base = 0.0
-    for leaf in _paths(tree, offsets, n_numeric):
-        base += leaf["value"] * leaf["share"]
-        names = list(leaf["path"])
-        d = len(names)
-        if d == 0:
-            continue
-        cover = [leaf["path"][n][0] for n in names]
-        follows = [_passes(data, leaf["path"][n][1], n_numeric).astype(float) for n in names]
+    for d in {len(leaf["path"]) for leaf in leaves} - {0}:
+        group = [leaf for leaf in leaves if len(leaf["path"]) == d]
+        value = np.array([leaf["value"] for leaf in group])
+        names = np.array([list(leaf["path"]) for leaf in group])
+        cover = np.array([[share for share, _ in leaf["path"].values()] for leaf in group])
+        follows = np.ones((d, len(data), len(group)))
+        for g, leaf in enumerate(group):
+            for j, (_, steps) in enumerate(leaf["path"].values()):
+                for node, first in steps:
+                    follows[j, :, g] *= by_step[first][:, node]
         weight = [factorial(s) * factorial(d - s - 1) / factorial(d) for s in range(d)]
         for j in range(d):
-            poly = [np.ones(len(data))]
-            for i in range(d):
-                if i == j:
-                    continue
-                rest = [c * cover[i] for c in poly] + [np.zeros(len(data))]
-                for s, c in enumerate(poly):
-                    rest[s + 1] = rest[s + 1] + c * follows[i]
-                poly = rest
-            mass = sum(w * c for w, c in zip(weight, poly))
-            phi[:, names[j]] += leaf["value"] * mass * (follows[j] - cover[j])
+            poly = np.zeros((d, len(data), len(group)))
+            poly[0] = 1.0
+            for degree, i in enumerate([i for i in range(d) if i != j]):
+                for s in range(degree + 1, 0, -1):
+                    poly[s] = poly[s] * cover[:, i] + poly[s - 1] * follows[i]
+                poly[0] *= cover[:, i]
+            mass = np.tensordot(weight, poly, 1)
+            part = mass * (follows[j] - cover[:, j]) * value
+            to = np.zeros((len(group), width))
+            to[np.arange(len(group)), names[:, j]] = 1.0
+            phi += part @ to
     return phi, base
 
 
+_SPREAD = 256
+_STRIP = 1000
+
+
+def _tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def explain(
     flagged: DataFrame, points: DataFrame, trees: DataFrame, buckets: DataFrame, params: Params, space: Space
 ) -> DataFrame:
@@ -98,7 +108,9 @@ def explain(
     wanted = flagged.select(C.CATEGORY_KEY, C.RECORD_ID)
     if params.shap_max_records is not None:
         wanted = sample_per_category(wanted, params.shap_max_records, seed=params.random_seed)
-    rows = points.join(wanted, [C.CATEGORY_KEY, C.RECORD_ID], "left_semi").repartition(C.CATEGORY_KEY, C.RECORD_ID)
+    # Reading a forest costs as much as explaining some hundred records, so a category goes to few tasks.
+    spread = F.pmod(F.xxhash64(C.RECORD_ID), F.lit(_SPREAD if params.shap_max_records is None else 1))
+    rows = points.join(wanted, [C.CATEGORY_KEY, C.RECORD_ID], "left_semi").repartition(_tasks(points), C.CATEGORY_KEY, spread)
     shares = shares_by_category(buckets, space)
     model = materialise(trees.join(shares, C.CATEGORY_KEY), "explainer")
     layout, width, m = space.point, space.width, len(space.numeric)
@@ -109,11 +121,13 @@ def explain(
 
     def attribute(part: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
         data = part[data_cols].to_numpy(float)
-        phi, base = np.zeros((len(data), width)), 0.0
+        phi, means = np.zeros((len(data), width)), []
         for tree in forest.to_dict("records"):
-            values, mean = tree_shap(data, tree, offsets, m, width)
-            phi += values / len(forest)
-            base += mean / len(forest)
+            for s in range(0, len(data), _STRIP):
+                values, mean = tree_shap(data[s : s + _STRIP], tree, offsets, m, width)
+                phi[s : s + _STRIP] += values / len(forest)
+            means.append(mean)
+        base = float(np.mean(means))
         shown = dense_points(
             part[layout].to_numpy(float), [np.asarray(forest[c].iloc[0], float) for c in share_cols], space
         )
