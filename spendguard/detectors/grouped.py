@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendguard import columns as C
-from spendguard.scratch import materialise, session_conf
+from spendguard.scratch import materialise, session_conf, spread
 
 MODEL_BYTES_LIMIT = 64 << 20
 CHUNK_ROWS = 50_000
@@ -24,6 +24,7 @@ def map_with_model(
     bytes_limit: int = MODEL_BYTES_LIMIT,
     chunk_rows: int = CHUNK_ROWS,
     combine: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame] | None = None,
+    laid_out: bool = False,
 ) -> DataFrame:
     """Run `fn(rows, model rows)` for each category; categories without a model give no rows.
 
@@ -32,6 +33,7 @@ def map_with_model(
     category and each chunk meets only the model rows of its own category.
 
     With `combine`, the results of one category are merged inside each task before they leave it.
+    `laid_out` says that the caller has already partitioned the rows for the work.
     """
     spark = rows.sparkSession
     if model.count() * row_bytes <= bytes_limit:
@@ -52,7 +54,7 @@ def map_with_model(
                         held[key] = combine(held[key], out) if key in held else out
             yield from held.values()
 
-        return rows.mapInPandas(per_batch, schema)
+        return (rows if laid_out else spread(rows)).mapInPandas(per_batch, schema)
 
     sizes = rows.groupBy(C.CATEGORY_KEY).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("_chunks"))
     sizes = materialise(sizes, "chunks")

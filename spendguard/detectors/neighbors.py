@@ -21,13 +21,29 @@ from pyspark.sql import functions as F
 
 from spendguard import columns as C
 from spendguard.detectors.space import Space, paired_distances, rough_distances
-from spendguard.scratch import materialise, session_conf
+from spendguard.scratch import materialise, session_conf, tasks
 
 BLOCK_POINTS = 512
+_MIN_POINTS = 64
 _PAIR_BATCH = 64
+_PAIRS_PER_PART = 256
 _SALTS = 8
 
 
+def _block_starts(cells: np.ndarray, block_points: int) -> list[int]:
+    """Block starts: at the latest after `block_points` rows, and at a change of buckets once a block
+    has enough rows to be worth its own box."""
+    changed = np.r_[False, (cells[1:] != cells[:-1]).any(axis=1)]
+    least = min(_MIN_POINTS, block_points)
+    starts = [0]
+    for at in np.flatnonzero(changed).tolist() + [len(cells)]:
+        while at - starts[-1] > block_points:
+            starts.append(starts[-1] + block_points)
+        if at < len(cells) and at - starts[-1] >= least:
+            starts.append(at)
+    return starts
+
+
 def pack_blocks(points: DataFrame, space: Space, block_points: int = BLOCK_POINTS) -> DataFrame:
     """One row per block of nearby points of a category, with its bounding box."""
     z, buckets, weights = space.z, list(space.buckets), space.weights
@@ -45,9 +61,9 @@ def pack_blocks(points: DataFrame, space: Space, block_points: int = BLOCK_POINT
                 ids = part[C.RECORD_ID].to_numpy(np.int64)
                 pts = part[layout].to_numpy(np.float64)
                 rows = []
-                for start in range(0, len(ids), block_points):
-                    p = pts[start : start + block_points]
-                    i = ids[start : start + block_points]
+                starts = _block_starts(pts[:, len(z) : len(z) + len(buckets)], block_points)
+                for start, end in zip(starts, [*starts[1:], len(ids)]):
+                    p, i = pts[start:end], ids[start:end]
                     row = {
                         C.CATEGORY_KEY: key, "run": ids[0], "block": i[0], "n": len(i),
                         "lo": p[:, : len(z)].min(0), "hi": p[:, : len(z)].max(0),
@@ -155,9 +171,11 @@ def _take_nearer(pts, ids, dist, near, r_pts, r_ids, n_numeric, n_buckets, exclu
         return
     rough, error = rough[rows], error[rows]
     limit = worst[rows]
-    if rough.shape[1] > k:
+    if rough.shape[1] > k and np.isinf(limit).any():
         limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1])
-    i, j = np.nonzero(np.isfinite(rough) & (rough <= (limit + 2 * error)[:, None]))
+    close = rough <= (limit + 2 * error)[:, None]
+    close &= rough < np.inf
+    i, j = np.nonzero(close)
     exact = paired_distances(pts[rows[i]], r_pts[j], n_numeric, n_buckets)
     # The lists so far and the new pairs, ordered by query, distance and reference.
     row = np.concatenate([np.repeat(np.arange(len(rows)), k), i])
@@ -179,19 +197,25 @@ def _run_pairs(pairs: DataFrame, queries: DataFrame, refs: DataFrame, k: int, sp
     key = C.CATEGORY_KEY
     r = refs.select(key, F.col("block").alias("r_block"), F.col("ids").alias("r_ids"), F.col("pts").alias("r_pts"))
     q = queries.select(key, F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("pts").alias("q_pts"))
-    # Spread the pairs by block before the points are attached: with small block tables both joins are
-    # broadcasts and keep this layout, with large ones the joins shuffle by block and split skewed blocks.
     spark = pairs.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    fed = (
-        pairs.repartition(tasks, key, "q_block", F.pmod(F.xxhash64("r_block"), F.lit(_SALTS)))
+    # A query block that reaches many reference blocks is split into parts of a bounded number of pairs.
+    parts = F.ceil(F.count(F.lit(1)) / _PAIRS_PER_PART).cast("int").alias("_parts")
+    load = materialise(pairs.groupBy(key, "q_block").agg(parts), "pair_load")
+    q = q.join(load, [key, "q_block"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    r_of_q = (
+        pairs.join(load, [key, "q_block"])
+        .withColumn("_part", F.pmod(F.xxhash64("r_block"), F.col("_parts")).cast("int"))
         .join(r, [key, "r_block"])
-        .join(q, [key, "q_block"])
-        .sortWithinPartitions(key, "q_block", "r_block")
+    )
+    # The merge join takes over the explicit layout: work is spread evenly even where the tables are small
+    # enough to be broadcast, and the pairs of a query block arrive together.
+    fed = (
+        r_of_q.repartition(tasks(spark), key, "q_block", "_part")
+        .join(q.drop("_parts").hint("merge"), [key, "q_block", "_part"])
         .select(key, "q_block", "q_ids", "q_pts", "r_ids", "r_pts")
     )
     search = _nearest_in_pairs(k, len(space.numeric), len(space.buckets), exclude_self)
-    with session_conf(pairs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=_PAIR_BATCH):
+    with session_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch=_PAIR_BATCH):
         return materialise(fed.mapInPandas(search, _PARTIAL), name)
 
 
@@ -208,20 +232,29 @@ def nearest(
     reference records, ties broken by record; both are shorter than k where a category has fewer points.
     """
     key = C.CATEGORY_KEY
-    # 2. The reference block that precedes (or, at the start, follows) each query block in block order.
-    def sort_columns(side):
-        return [*[F.array_min(f"set_{b}").alias(f"s{j}") for j, b in enumerate(space.buckets)], "lo"]
-
-    q_keys = queries.select(key, *sort_columns(queries), F.col("block").alias("q_block"), F.lit(None).cast("bigint").alias("r_block"))
-    r_keys = refs.select(key, *sort_columns(refs), F.lit(None).cast("bigint").alias("q_block"), F.col("block").alias("r_block"))
-    along = Window.partitionBy(key).orderBy(*[f"s{j}" for j in range(len(space.buckets))], "lo", F.col("q_block").isNotNull(), "q_block", "r_block")
-    before = F.last("r_block", ignorenulls=True).over(along)
-    after = F.first("r_block", ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing))
+    # 2. The neighbour of each query block in block order, on the side that shares its buckets.
+    cell = [F.array_min(f"set_{b}").alias(f"s{j}") for j, b in enumerate(space.buckets)]
+    cells = [f"s{j}" for j in range(len(cell))]
+    absent = F.lit(None).cast("bigint")
+    q_keys = queries.select(key, *cell, "lo", F.col("block").alias("q_block"), absent.alias("r_block"))
+    r_keys = refs.select(key, *cell, "lo", absent.alias("q_block"), F.col("block").alias("r_block"))
+    along = Window.partitionBy(key).orderBy(*cells, "lo", F.col("q_block").isNotNull(), "q_block", "r_block")
+    here = F.struct(F.array(*cells).alias("cell") if cells else F.lit(0).alias("cell"), "r_block")
+    stop = F.when(F.col("r_block").isNotNull(), here)
+    own = F.array(*cells) if cells else F.lit(0)
+    before, after = F.col("_before"), F.col("_after")
+    side = (
+        F.when(before["cell"] == own, before["r_block"])
+        .when(after["cell"] == own, after["r_block"])
+        .otherwise(F.coalesce(before["r_block"], after["r_block"]))
+    )
     home = (
         q_keys.unionByName(r_keys)
-        .withColumn("home", F.coalesce(before, after))
-        .where(F.col("q_block").isNotNull() & F.col("home").isNotNull())
-        .select(key, "q_block", F.col("home").alias("r_block"))
+        .withColumn("_before", F.last(stop, ignorenulls=True).over(along))
+        .withColumn("_after", F.first(stop, ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing)))
+        .where(F.col("q_block").isNotNull())
+        .select(key, "q_block", side.alias("r_block"))
+        .where(F.col("r_block").isNotNull())
     )
     home = materialise(home, "home_pairs")
     first = _run_pairs(home, queries, refs, k, space, exclude_self, "home_neighbours")

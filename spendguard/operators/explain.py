@@ -19,7 +19,7 @@ from spendguard.detectors.iforest import average_path, tree_bytes
 from spendguard.detectors.space import Space, dense_points, shares_by_category
 from spendguard.operators.sampling import sample_per_category
 from spendguard.params import Params
-from spendguard.scratch import materialise
+from spendguard.scratch import materialise, tasks
 
 SHAP_SCHEMA = (
     f"{C.CATEGORY_KEY} string, {C.RECORD_ID} bigint, feature_name string, shap_value double, "
@@ -92,11 +92,6 @@ _SPREAD = 256
 _STRIP = 1000
 
 
-def _tasks(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def explain(
     flagged: DataFrame, points: DataFrame, trees: DataFrame, buckets: DataFrame, params: Params, space: Space
 ) -> DataFrame:
@@ -109,8 +104,10 @@ def explain(
     if params.shap_max_records is not None:
         wanted = sample_per_category(wanted, params.shap_max_records, seed=params.random_seed)
     # Reading a forest costs as much as explaining some hundred records, so a category goes to few tasks.
-    spread = F.pmod(F.xxhash64(C.RECORD_ID), F.lit(_SPREAD if params.shap_max_records is None else 1))
-    rows = points.join(wanted, [C.CATEGORY_KEY, C.RECORD_ID], "left_semi").repartition(_tasks(points), C.CATEGORY_KEY, spread)
+    part = F.pmod(F.xxhash64(C.RECORD_ID), F.lit(_SPREAD if params.shap_max_records is None else 1))
+    rows = points.join(wanted, [C.CATEGORY_KEY, C.RECORD_ID], "left_semi").repartition(
+        tasks(points.sparkSession), C.CATEGORY_KEY, part
+    )
     shares = shares_by_category(buckets, space)
     model = materialise(trees.join(shares, C.CATEGORY_KEY), "explainer")
     layout, width, m = space.point, space.width, len(space.numeric)
@@ -143,7 +140,8 @@ def explain(
             }
         )
 
-    return map_with_model(rows, model, attribute, SHAP_SCHEMA, tree_bytes(params) + 8 * sum(space.sizes))
+    bytes_each = tree_bytes(params) + 8 * sum(space.sizes)
+    return map_with_model(rows, model, attribute, SHAP_SCHEMA, bytes_each, laid_out=True)
 
 
 def top_features(attributions: DataFrame, n_top: int = 5) -> DataFrame:

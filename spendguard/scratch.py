@@ -32,6 +32,19 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks(spark: SparkSession) -> int:
+    """Number of tasks for work whose cost does not show in its bytes."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a table that sits in fewer files than there are cores; larger tables stay where they are."""
+    spark = df.sparkSession
+    if len(df.inputFiles()) < spark.sparkContext.defaultParallelism:
+        return df.repartition(tasks(spark))
+    return df
+
+
 @contextmanager
 def session_conf(spark: SparkSession, **settings):
     """Set session options (dots written as `__`) while a job is planned and run."""
