@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from checks.base import (
     DISTANCE,
     NUMERIC,
+    ORDERS_CTE,
     PARAMS,
     POINTS_CTE,
     SPACE,
+    adjusted_orders,
     derived,
     min_rows,
     order_contamination,
@@ -27,11 +29,11 @@ from spendguard.detectors.knn import knn_score, knn_scores
 from spendguard.detectors.lof import lof_reference, lof_score
 from spendguard.detectors.neighbors import knn_join, nearest, pack_blocks
 from spendguard.detectors.ocsvm import fit_ocsvm, score_ocsvm
-from spendguard.detectors.silhouette import silhouette
+from spendguard.detectors.silhouette import amount_silhouette, silhouette
 from spendguard.detectors.space import Space, apply_scaler, fit_buckets, fit_scaler
 from spendguard.detectors.thresholds import ensemble, fit_threshold, flag_scores, minmax_scores, widen
 from spendguard.operators import explain
-from spendguard.plans import load_models, predict, run, save_models, score_records
+from spendguard.plans import load_models, predict, run, save_models, score_records, single_category_forest
 from spendguard.scratch import materialise, scratch_path
 
 
@@ -354,3 +356,28 @@ def forest_with_fewer_features(spark, sf_dir):
     """The single-detector variant: one forest on amount and spender mean, positive amounts only."""
     train, new = _split_points(spark, sf_dir)
     return score_iforest(new, fit_iforest(train, PARAMS, _FLAT), PARAMS, _FLAT)
+
+
+@query("single_category_forest")
+def single_category(spark, sf_dir):
+    """One order priority with one-hot encoded status, principal components and a forest."""
+    rows = adjusted_orders(spark, sf_dir)
+    found = single_category_forest(rows, F.col("verba") == "5-LOW", PARAMS, k=4)
+    return found.select("record_id", F.round("score", 8).alias("score"), "anomaly")
+
+
+@query(
+    "amount_silhouette",
+    f"""WITH {ORDERS_CTE}, l AS (SELECT verba, valor, CAST(valor > 300000 AS INTEGER) AS label FROM adj),
+    s AS (SELECT verba, label, valor, count(*) OVER c AS n, sum(valor) OVER c AS t,
+        count(*) OVER (PARTITION BY verba) AS n_all, sum(valor) OVER (PARTITION BY verba) AS t_all,
+        count(*) OVER o AS k, sum(valor) OVER o AS u, count(*) OVER a AS k_all, sum(valor) OVER a AS u_all
+        FROM l WINDOW c AS (PARTITION BY verba, label), o AS (PARTITION BY verba, label ORDER BY valor), a AS (PARTITION BY verba ORDER BY valor)),
+    d AS (SELECT verba, n, n_all - n AS m, valor * k - u + (t - u) - valor * (n - k) AS inside,
+        valor * k_all - u_all + (t_all - u_all) - valor * (n_all - k_all) AS every FROM s),
+    w AS (SELECT verba, inside / (n - 1) AS a, (every - inside) / m AS b FROM d)
+    SELECT verba, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM w GROUP BY verba""",
+)
+def amount_silhouette_of_orders(spark, sf_dir):
+    labelled = adjusted_orders(spark, sf_dir).withColumn("label", (F.col("valor") > 300000).cast("int"))
+    return amount_silhouette(labelled, "valor", "label", ["verba"]).withColumn("silhouette", F.round("silhouette", 6))

@@ -33,7 +33,8 @@ def exact_quantiles(
     # As text: a thousand literal columns would each be a call into the JVM.
     steps = ", ".join(f"{i / _STEPS}D" for i in range(_STEPS + 1))
     grid = F.expr(f"percentile_approx(_v, array({steps}), {_ACCURACY})")
-    sketch = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), grid.alias("_grid"))
+    # The written sketch is small and carries its size, so the join with the rows is a broadcast.
+    sketch = materialise(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), grid.alias("_grid")), "quantile_sketch")
     if per_group is None:
         wanted = sketch.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
     else:
@@ -47,7 +48,6 @@ def exact_quantiles(
         F.when(large & (step >= 2), F.get("_grid", step - 2)).otherwise(F.lit(float("-inf"))).alias("_lo"),
         F.when(large & (step + 3 <= _STEPS), F.get("_grid", step + 3)).otherwise(F.lit(float("inf"))).alias("_hi"),
     )
-    bands = materialise(bands, "quantile_bands")
     if keys:
         joined = rows.join(bands, keys)
     else:
