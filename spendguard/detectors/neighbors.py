@@ -6,7 +6,7 @@
 2. Every query block meets the reference block next to it in that order.  The distances found there
    bound the true k-th distance from above.
 3. Block pairs whose boxes are farther apart than that bound are dropped; this is decided on box
-   metadata, first on runs of blocks and then on single blocks.  Only surviving pairs meet.
+   metadata from coarse to fine: partitions, runs of blocks, single blocks.  Only surviving pairs meet.
 4. Per query the partial lists are merged to the k nearest.  No pair of points leaves a task.
 
 The result is exact for any data; the boxes only decide how much work is skipped.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +28,6 @@ BLOCK_POINTS = 512
 _MIN_POINTS = 64
 _PAIR_BATCH = 64
 _PAIRS_PER_PART = 256
-_SALTS = 8
 
 
 def _block_starts(cells: np.ndarray, block_points: int) -> list[int]:
@@ -50,12 +50,13 @@ def pack_blocks(points: DataFrame, space: Space, block_points: int = BLOCK_POINT
     order = [C.CATEGORY_KEY, *buckets, *z, C.RECORD_ID]
     layout = [*z, *buckets, *weights]
     schema = (
-        f"{C.CATEGORY_KEY} string, run bigint, block bigint, n int, lo array<double>, hi array<double>, "
+        f"{C.CATEGORY_KEY} string, part int, run bigint, block bigint, n int, lo array<double>, hi array<double>, "
         "ids binary, pts binary"
         + "".join(f", set_{b} array<int>, wmin_{b} double" for b in buckets)
     )
 
     def pack(batches):
+        task = TaskContext.get().partitionId()
         for batch in batches:
             for key, part in batch.groupby(C.CATEGORY_KEY, sort=False):
                 ids = part[C.RECORD_ID].to_numpy(np.int64)
@@ -65,7 +66,7 @@ def pack_blocks(points: DataFrame, space: Space, block_points: int = BLOCK_POINT
                 for start, end in zip(starts, [*starts[1:], len(ids)]):
                     p, i = pts[start:end], ids[start:end]
                     row = {
-                        C.CATEGORY_KEY: key, "run": ids[0], "block": i[0], "n": len(i),
+                        C.CATEGORY_KEY: key, "part": task, "run": ids[0], "block": i[0], "n": len(i),
                         "lo": p[:, : len(z)].min(0), "hi": p[:, : len(z)].max(0),
                         "ids": i.tobytes(), "pts": p.tobytes(),
                     }
@@ -100,22 +101,93 @@ def _box_gap(space: Space) -> Column:
     return gap
 
 
-def _boxes(blocks: DataFrame, space: Space, prefix: str, by_run: bool) -> DataFrame:
-    """Box columns with a prefix, of single blocks or of runs of consecutive blocks."""
-    if by_run:
+def _boxes(blocks: DataFrame, space: Space, prefix: str, level: str, parent: str | None = None) -> DataFrame:
+    """Boxes of all blocks that share a value of `level`, with prefixed column names."""
+    if level != "block":
         d = len(space.numeric)
         aggs = [
             F.array(*[F.min(F.get("lo", F.lit(i))) for i in range(d)]).alias("lo"),
             F.array(*[F.max(F.get("hi", F.lit(i))) for i in range(d)]).alias("hi"),
         ]
         for b in space.buckets:
-            aggs.append(F.array_distinct(F.flatten(F.collect_list(f"set_{b}"))).alias(f"set_{b}"))
+            # At most as many distinct values as the feature has buckets.
+            aggs.append(F.array_distinct(F.flatten(F.collect_set(f"set_{b}"))).alias(f"set_{b}"))
             aggs.append(F.min(f"wmin_{b}").alias(f"wmin_{b}"))
         if "bound" in blocks.columns:
             aggs.append(F.max("bound").alias("bound"))
-        blocks = blocks.groupBy(C.CATEGORY_KEY, "run").agg(*aggs)
-    keep = [c for c in blocks.columns if c not in (C.CATEGORY_KEY, "ids", "pts", "n")]
-    return blocks.select(C.CATEGORY_KEY, *[F.col(c).alias(f"{prefix}_{c}") for c in keep])
+        blocks = blocks.groupBy(C.CATEGORY_KEY, *[c for c in (parent, level) if c]).agg(*aggs)
+    drop = {C.CATEGORY_KEY, "ids", "pts", "n", *({"part", "run", "block"} - {level, parent})}
+    return blocks.select(C.CATEGORY_KEY, *[F.col(c).alias(f"{prefix}_{c}") for c in blocks.columns if c not in drop])
+
+
+def _close_pairs(queries: DataFrame, refs: DataFrame, space: Space) -> DataFrame:
+    """Block pairs whose boxes are within the query block's bound.
+
+    Boxes are compared top down: partitions of the packing, then runs of blocks, then blocks.  Only the
+    children of close pairs are compared, so no level compares everything with everything.
+    """
+    key = C.CATEGORY_KEY
+    gap = _box_gap(space) <= F.col("q_bound") * (1 + 1e-9)
+    pairs = _boxes(queries, space, "q", "part").join(_boxes(refs, space, "r", "part"), key).where(gap)
+    for parent, level in (("part", "run"), ("run", "block")):
+        pairs = (
+            pairs.select(key, f"q_{parent}", f"r_{parent}")
+            .join(_boxes(queries, space, "q", level, parent), [key, f"q_{parent}"])
+            .join(_boxes(refs, space, "r", level, parent), [key, f"r_{parent}"])
+            .where(gap)
+        )
+    return pairs.select(key, "q_block", "r_block")
+
+
+def _home_pairs(queries: DataFrame, refs: DataFrame, space: Space) -> DataFrame:
+    """Each query block with the reference block next to it in block order, if possible one that shares
+    its first buckets.
+
+    The order is cut into range partitions; a block whose neighbour lies beyond the cut takes the last or
+    first reference block of the partitions on that side.
+    """
+    key = C.CATEGORY_KEY
+    cell = F.array(*[F.array_min(f"set_{b}") for b in space.buckets]) if space.buckets else F.lit(0)
+    absent = F.lit(None).cast("bigint")
+    q_keys = queries.select(key, cell.alias("cell"), "lo", F.col("block").alias("q_block"), absent.alias("r_block"))
+    r_keys = refs.select(key, cell.alias("cell"), "lo", absent.alias("q_block"), F.col("block").alias("r_block"))
+    order = ["cell", "lo", "_is_query", "q_block", "r_block"]
+    both = q_keys.unionByName(r_keys).withColumn("_is_query", F.col("q_block").isNotNull())
+    ranged = materialise(
+        both.repartitionByRange(key, *order).withColumn("_cut", F.spark_partition_id()), "block_order"
+    )
+    stop = F.when(F.col("r_block").isNotNull(), F.struct("cell", "r_block"))
+    inside = Window.partitionBy("_cut", key).orderBy(*order)
+    near = ranged.select(
+        "*",
+        F.last(stop, ignorenulls=True).over(inside).alias("_before"),
+        F.first(stop, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)).alias("_after"),
+    )
+    position = F.struct(*order)
+    edges = ranged.where(F.col("r_block").isNotNull()).groupBy("_cut", key).agg(
+        F.max_by(stop, position).alias("_last"), F.min_by(stop, position).alias("_first")
+    )
+    cuts = ranged.select("_cut", key).distinct().join(edges, ["_cut", key], "left")
+    # One row per partition and category.
+    along = Window.partitionBy(key).orderBy("_cut")
+    beyond = cuts.select(
+        "_cut",
+        key,
+        F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
+        F.first("_first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_later"),
+    )
+    before, after = F.coalesce("_before", "_earlier"), F.coalesce("_after", "_later")
+    side = (
+        F.when(before["cell"] == F.col("cell"), before["r_block"])
+        .when(after["cell"] == F.col("cell"), after["r_block"])
+        .otherwise(F.coalesce(before["r_block"], after["r_block"]))
+    )
+    return (
+        near.where("_is_query")
+        .join(materialise(beyond, "block_cuts"), ["_cut", key])
+        .select(key, "q_block", side.alias("r_block"))
+        .where(F.col("r_block").isNotNull())
+    )
 
 
 def _nearest_in_pairs(k: int, n_numeric: int, n_buckets: int, exclude_self: bool):
@@ -232,53 +304,15 @@ def nearest(
     reference records, ties broken by record; both are shorter than k where a category has fewer points.
     """
     key = C.CATEGORY_KEY
-    # 2. The neighbour of each query block in block order, on the side that shares its buckets.
-    cell = [F.array_min(f"set_{b}").alias(f"s{j}") for j, b in enumerate(space.buckets)]
-    cells = [f"s{j}" for j in range(len(cell))]
-    absent = F.lit(None).cast("bigint")
-    q_keys = queries.select(key, *cell, "lo", F.col("block").alias("q_block"), absent.alias("r_block"))
-    r_keys = refs.select(key, *cell, "lo", absent.alias("q_block"), F.col("block").alias("r_block"))
-    along = Window.partitionBy(key).orderBy(*cells, "lo", F.col("q_block").isNotNull(), "q_block", "r_block")
-    here = F.struct(F.array(*cells).alias("cell") if cells else F.lit(0).alias("cell"), "r_block")
-    stop = F.when(F.col("r_block").isNotNull(), here)
-    own = F.array(*cells) if cells else F.lit(0)
-    before, after = F.col("_before"), F.col("_after")
-    side = (
-        F.when(before["cell"] == own, before["r_block"])
-        .when(after["cell"] == own, after["r_block"])
-        .otherwise(F.coalesce(before["r_block"], after["r_block"]))
-    )
-    home = (
-        q_keys.unionByName(r_keys)
-        .withColumn("_before", F.last(stop, ignorenulls=True).over(along))
-        .withColumn("_after", F.first(stop, ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing)))
-        .where(F.col("q_block").isNotNull())
-        .select(key, "q_block", side.alias("r_block"))
-        .where(F.col("r_block").isNotNull())
-    )
-    home = materialise(home, "home_pairs")
+    # 2. The reference block next to each query block.
+    home = materialise(_home_pairs(queries, refs, space), "home_pairs")
     first = _run_pairs(home, queries, refs, k, space, exclude_self, "home_neighbours")
 
     # 3. Block pairs that can still hold a nearer reference.
     reach = F.max(F.when(F.size("dist") >= k, F.element_at("dist", k)).otherwise(F.lit(float("inf"))))
     bounds = first.groupBy(key, "block").agg(reach.alias("bound"))
     bounded = materialise(queries.drop("ids", "pts").join(bounds, [key, "block"]), "bounded_blocks")
-    gap = _box_gap(space) <= F.col("q_bound") * (1 + 1e-9)
-    salt = F.pmod(F.xxhash64("q_run"), F.lit(_SALTS)).cast("int")
-    r_runs = _boxes(refs, space, "r", True).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    runs = (
-        _boxes(bounded, space, "q", True).withColumn("_salt", salt)
-        .join(r_runs, [key, "_salt"])
-        .where(gap)
-        .select(key, "q_run", "r_run")
-    )
-    pairs = (
-        runs.join(_boxes(bounded, space, "q", False), [key, "q_run"])
-        .join(_boxes(refs, space, "r", False), [key, "r_run"])
-        .where(gap)
-        .select(key, "q_block", "r_block")
-        .join(home, [key, "q_block", "r_block"], "left_anti")
-    )
+    pairs = _close_pairs(bounded, refs, space).join(home, [key, "q_block", "r_block"], "left_anti")
     rest = _run_pairs(materialise(pairs, "block_pairs"), queries, refs, k, space, exclude_self, "far_neighbours")
 
     # 4. Merge the partial lists of each query point.
