@@ -19,7 +19,6 @@ from checks.base import (
     order_panel,
     query,
     table,
-    train_of,
 )
 from spendguard.detectors.thresholds import iqr_fences, outside_fences
 from spendguard.functions import audit_score, category_key

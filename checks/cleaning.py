@@ -15,7 +15,6 @@ from checks.base import (
     brl,
     key_sql,
     lineitems,
-    min_rows,
     order_features,
     orders,
     query,

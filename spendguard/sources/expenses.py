@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,6 +10,7 @@ from spendguard import columns as C
 
 RAW_COLUMNS = ("Verba", "Descrição", "Conta", "Favorecido", "Trecho", "Vencimento", "Valor")
 _CORRUPT = "_corrupt_record"
+_COPIES = 100_000
 
 
 def _field_count(line: Column, sep: str) -> Column:
@@ -55,13 +56,28 @@ def read_expenses(
     )
     if not with_ids:
         return rows.drop("_file")
-    same = F.xxhash64("_file", *columns)
-    copy = F.row_number().over(Window.partitionBy("_same").orderBy("_same"))
-    return (
-        rows.withColumn("_same", same)
-        .withColumn(C.RECORD_ID, F.xxhash64("_same", copy))
-        .drop("_same", "_file")
-        .select(C.RECORD_ID, *columns, C.YEAR)
+    return _with_ids(rows, columns)
+
+
+def _with_ids(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Add `record_id`, a hash of the row and its copy number.
+
+    Copies are counted, not sorted, and then written out again; a row with very many copies is first cut
+    into numbered chunks that are dealt out over the tasks.
+    """
+    counted = rows.groupBy("_file", *columns, C.YEAR).agg(F.count(F.lit(1)).alias("_n"))
+    few = counted.where(F.col("_n") <= _COPIES).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    chunk = F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / _COPIES)))
+    first, last = F.col("_chunk") * _COPIES + 1, F.least((F.col("_chunk") + 1) * _COPIES, F.col("_n"))
+    many = (
+        counted.where(F.col("_n") > _COPIES)
+        .withColumn("_chunk", chunk)
+        .repartition("_chunk", *columns)
+        .withColumn("_copy", F.explode(F.sequence(first, last)))
+        .drop("_chunk")
+    )
+    return few.unionByName(many).select(
+        F.xxhash64("_file", *columns, "_copy").alias(C.RECORD_ID), *columns, C.YEAR
     )
 
 

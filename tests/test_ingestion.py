@@ -43,6 +43,17 @@ def test_record_ids_are_unique_and_repeatable(raw):
     assert ids == sorted(r[0] for r in raw.repartition(5).select("record_id").collect())
 
 
+def test_many_copies_of_one_row(raw, monkeypatch):
+    from spendguard.sources import expenses
+
+    whole = sorted(r[0] for r in raw.select("record_id").collect())
+    monkeypatch.setattr(expenses, "_COPIES", 2)
+    columns = expenses.RAW_COLUMNS
+    copies = raw.drop("record_id").withColumn("_file", F.lit("f")).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(7))))
+    ids = [r[0] for r in expenses._with_ids(copies.drop("_k"), columns).select("record_id").collect()]
+    assert len(ids) == len(set(ids)) == 7 * len(whole)
+
+
 def test_clean(raw):
     out = clean.clean_expenses(raw)
     assert out.count() == 6
