@@ -140,3 +140,17 @@ def test_year_window():
     p = Params().for_year_range(2015, 2023)
     assert p.train_years == (2015, 2016, 2017, 2018, 2019, 2021, 2022) and p.test_years == (2023,)
     assert Params.from_dict({"train_years": [1], "unknown": 2}).train_years == (1,)
+
+
+def test_sampled_fits_and_subspace_degree(expenses, index):
+    params = PARAMS.with_(
+        detectors=("lof", "ocsvm"), include_sod=True, lof_subsample_threshold=150, lof_subsample_size=120,
+        ocsvm_subsample_threshold=150, ocsvm_subsample_size=120, sod_subsample=100,
+    )
+    out = run(expenses, index, params)
+    assert out.models["lof"].groupBy("category_key").count().where("count <> 120").isEmpty()
+    assert out.models["sod"].groupBy("category_key").count().where("count <> 100").isEmpty()
+    p = out.predictions
+    assert p.where("score_lof is null or score_ocsvm is null or score_sod is null").isEmpty()
+    assert p.groupBy("category_key").agg(F.max("score_sod").alias("m")).where("m <> 1").isEmpty()
+    assert out.attributions is None and "top_feature" not in out.flagged.columns
