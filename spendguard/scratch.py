@@ -13,12 +13,21 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local_roots: dict[str, str] = {}
+_scopes: list[list[str]] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
+    """The shared folder of the cluster; in local mode, where all tasks share one disk, a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spendguard-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="spendguard-")
+    return _local_roots[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -29,9 +38,41 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write `df` to the shared folder and return the table read back."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete barrier tables that no later job reads."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Barrier tables written inside are deleted at the end; `keep` moves one to the scope around it."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield paths
+    finally:
+        _scopes.remove(paths)
+        delete(spark, *paths)
+
+
+def keep(df: DataFrame, name: str = "kept") -> DataFrame:
+    """Write `df` as a barrier that outlives the current scope."""
+    inner = _scopes.pop() if _scopes else None
+    try:
+        return materialise(df, name)
+    finally:
+        if inner is not None:
+            _scopes.append(inner)
+
+
 def tasks(spark: SparkSession) -> int:
     """Number of tasks for work whose cost does not show in its bytes."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
