@@ -1,5 +1,71 @@
-"""Corpus pipeline."""
-STAGES = []
+"""Corpus pipeline: raw documents to packed token sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns the rows it keeps, with the columns of `documents`; the last
+one returns the placement of every piece. Stages are written as Parquet and read again, so a lost executor
+repeats one stage at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spendguard.llm.jaccard import similar_documents
+from spendguard.llm.language import fit_languages, identify
+from spendguard.llm.mixing import mix
+from spendguard.llm.packing import packed_digests
+from spendguard.scratch import materialise
+from spendguard.session import ship_package
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; texts that are null or have no letter (`und`) go.
+
+    The languages are learned from the labels that the documents carry.
+    """
+    ship_package(spark)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    found = identify(rows, fit_languages(docs), carry=["_row"])
+    return found.where("lang_pred <> 'und'").select("_row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of texts linked by five-word Jaccard similarity 0.8: the smallest id.
+
+    Of rows with one id, one stays; of rows without an id, one for each text.
+    """
+    ship_package(spark)
+    groups = similar_documents(docs, width=5, numerator=80)
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.dropDuplicates(["doc_id"]).join(first, "doc_id", "left_semi")
+    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, once or twice."""
+    ship_package(spark)
+    key = F.coalesce("doc_id", F.xxhash64("text"))
+    taken = mix(docs.withColumn("doc_id", key))
+    copies = taken.where("taken > 0").groupBy("doc_id").agg(F.sum(F.expr("taken div size")).cast("int").alias("_copies"))
+    rows = docs.withColumn("_key", key).dropDuplicates(["_key"])
+    repeated = rows.join(copies.withColumnRenamed("doc_id", "_key"), "_key").withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1), "_copies"))
+    )
+    return repeated.select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document (repeats are packed each) in sequences of 1024 tokens."""
+    ship_package(spark)
+    return packed_digests(docs)
+
+
+STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise ValueError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return docs

@@ -1,6 +1,6 @@
 """Import every operator, so that its query is registered."""
 
-from spendguard.llm import language, mixing, packing, token_counts  # noqa: F401
+from spendguard.llm import jaccard, language, mixing, packing, token_counts  # noqa: F401
 from spendguard.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
