@@ -148,7 +148,7 @@ def _mixed(docs, weights, share, most, seed, id_col, text_col, source_col, with_
 
     lengths = slices.groupBy("source", "size").agg(F.sum("_n").alias("_n"))
     plan = materialise(
-        lengths.join(F.broadcast(targets), lengths["source"].eqNullSafe(targets["source"]))
+        lengths.join(targets, lengths["source"].eqNullSafe(targets["source"]))
         .select(lengths["source"], "size", "_n", "source_size", "target")
         .groupBy("source")
         .applyInPandas(
