@@ -16,6 +16,8 @@ def all_finite(vector: Column) -> Column:
 
 def matrices(column: pa.ListArray):
     """(rows, matrix) for every length of vector in the column: row numbers and their vectors, stacked."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
     lengths = column.value_lengths().to_numpy()
     values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
     for size in np.unique(lengths):
