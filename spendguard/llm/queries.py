@@ -1,6 +1,6 @@
 """Import every operator, so that its query is registered."""
 
-from spendguard.llm import extraction, jaccard, language, lattice, mixing, packing, token_counts, topk  # noqa: F401
+from spendguard.llm import extraction, jaccard, language, lattice, licenses, mixing, packing, token_counts, topk  # noqa: F401
 from spendguard.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
