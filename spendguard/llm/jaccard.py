@@ -3,10 +3,11 @@
 1. Equal n-gram sets form classes; from here on a class is one document.
 2. Similar documents are gathered into groups: documents that share a min-hash are compared with the first of
    them, and verified links are joined to groups. A group of copies of any size needs one comparison each.
-3. The token-group matrix holds, for every group, the union of its members' prefix tokens: under one global
-   order of tokens (rare ones first), two sets that overlap enough share `SHARED` tokens of their prefixes.
-   A document's number of tokens in a group's row bounds its overlap with every member; only groups that
-   reach the bound are opened, and pairs of members are bounded the same way.
+3. The token-group matrix holds, for every group, the union of its members' index tokens: under one global order
+   of tokens (rare ones first), a set that overlaps enough with a larger one shares a token of its index prefix
+   with the larger one's probe prefix. A document whose probe tokens are not in a group's row overlaps too
+   little with every member; only the other groups are opened. Members are bounded by their sizes, and by
+   `SHARED` common tokens of slightly longer prefixes.
 4. Opened pairs are verified with their whole sets; all links together give the components.
 
 Hashes stand for n-grams (64 bits); sets are compared whole. No step pairs the members of a group.
@@ -28,7 +29,9 @@ from spendguard.llm.registry import query, table
 from spendguard.scratch import materialise
 
 MINHASHES = 6
-SHARED = 3
+SHARED = 4
+ALIKE = 3  # equal min-hashes of documents that are compared to find groups
+FILTER_BITS = 22
 SKETCH_BITS = 20
 SKETCH_SLICE = 1 << 14
 
@@ -168,7 +171,7 @@ def _frequencies(sketches: DataFrame) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, width: int, frequencies: np.ndarray, numerator: int, denominator: int) -> DataFrame:
-    """Per row the prefix of its set: rare n-grams first, ties by hash."""
+    """Per row the prefix of its set: rare n-grams first, ties by hash; long enough for `SHARED` common ones."""
     shared = texts.sparkSession.sparkContext.broadcast(frequencies)
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,9 +197,26 @@ def _prefixes(texts: DataFrame, width: int, frequencies: np.ndarray, numerator:
     return texts.mapInArrow(prefix, "_id long, _prefix array<long>")
 
 
-def _sets(texts: DataFrame, width: int) -> DataFrame:
+def _marks(ids: DataFrame) -> np.ndarray:
+    """A bit table of bounded size that has a bit for every id (and, by chance, bits for others)."""
+    bits = ids.select(F.pmod(F.xxhash64("_id"), F.lit(1 << FILTER_BITS)).cast("int").alias("bit"))
+    words = bits.groupBy(F.expr("bit div 32").cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, bit % 32))").alias("bits"))
+    table = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    for row in words.collect():
+        table[row["w"]] = row["bits"]
+    return table
+
+
+def _sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """The whole sets of the listed documents. The bit table keeps most other texts from being hashed, so no
+    text is shuffled to find them; the join that follows is exact."""
+    shared = texts.sparkSession.sparkContext.broadcast(_marks(ids))
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            bits = batch.column(2).to_numpy()
+            marked = shared.value[bits >> 5] >> (bits & 31).astype(np.uint32) & 1
+            batch = batch.take(pa.array(np.flatnonzero(marked)))
             for start, end, data, offsets in text_chunks(batch.column(1)):
                 h, cut = shingle_sets(data, offsets, width)
                 blobs = [h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
@@ -204,14 +224,13 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
                     [batch.column(0).slice(start, end - start), pa.array(blobs, pa.binary())], ["_id", "_set"]
                 )
 
-    return texts.mapInArrow(whole, "_id long, _set binary")
+    bit = F.pmod(F.xxhash64("_id"), F.lit(1 << FILTER_BITS))
+    named = texts.where("_id is not null").select("_id", "_text", bit.alias("_bit"))
+    return named.mapInArrow(whole, "_id long, _set binary").dropDuplicates(["_id"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
-    # Slim ids first: texts of documents in no pair are not shuffled when the list is small enough to broadcast.
-    sets = materialise(_sets(texts.join(wanted, "_id", "left_semi"), width).dropDuplicates(["_id"]), "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,8 +242,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, numerator: int, de
                     keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    first = pairs.select("a", "b").join(sets.select(F.col("_id").alias("a"), F.col("_set").alias("_x")), "a")
-    second = first.join(sets.select(F.col("_id").alias("b"), F.col("_set").alias("_y")), "b")
+    side = {c: _sets(texts, pairs.select(F.col(c).alias("_id")), width) for c in ("a", "b")}
+    first = pairs.select("a", "b").join(side["a"].select(F.col("_id").alias("a"), F.col("_set").alias("_x")), "a")
+    second = first.join(side["b"].select(F.col("_id").alias("b"), F.col("_set").alias("_y")), "b")
     return second.select("a", "b", "_x", "_y").mapInArrow(check, "a long, b long")
 
 
@@ -262,45 +282,60 @@ def similar_documents(
     able = classes.where(F.col("n_shingles") >= smallest).select("c", F.col("n_shingles").alias("n"), "_keys")
 
     # Groups: documents with a common min-hash against the first of them.
-    keyed = able.select("c", "n", F.posexplode("_keys").alias("_k", "_key"))
-    heads = keyed.groupBy("_k", "_key").agg(F.min(F.struct("c", "n")).alias("_head"), F.count("*").alias("_m")).where("_m > 1")
+    keyed = able.select("c", "n", "_keys", F.posexplode("_keys").alias("_k", "_key"))
+    heads = keyed.groupBy("_k", "_key").agg(F.min(F.struct("c", "n", "_keys")).alias("_head"), F.count("*").alias("_m")).where("_m > 1")
+    alike = F.size(F.filter(F.zip_with("_keys", "_head._keys", lambda x, y: x == y), lambda same: same))
     near = (
-        keyed.join(heads, ["_k", "_key"]).where("c <> _head.c")
+        keyed.join(heads, ["_k", "_key"]).where("c <> _head.c").where(alike >= ALIKE)
         .where(_comparable("n", "_head.n", numerator, denominator))
         .select(F.col("c").alias("a"), F.col("_head.c").alias("b")).distinct()
     )
     stars = materialise(_verified(materialise(near, "star_pairs"), texts, width, numerator, denominator), "star_links")
     groups = materialise(components(stars), "groups")
 
-    # The matrix: prefix tokens that occur in more than one group.
+    # The matrix: tokens that occur in the index of a group and in a probe from outside it.
     prefixes = _prefixes(texts, width, _frequencies(sketches), numerator, denominator)
     members = able.select("c", "n").join(groups.withColumnRenamed("node", "c"), "c", "left").select(
         "c", "n", F.coalesce("component", "c").alias("g")
     )
-    rows = (
-        prefixes.join(members, prefixes["_id"] == members["c"]).dropDuplicates(["c"])
-        .select("c", "n", "g", F.explode("_prefix").alias("token"))
+    ordered = materialise(
+        prefixes.join(members, prefixes["_id"] == members["c"]).dropDuplicates(["c"]).select("c", "n", "g", "_prefix"), "prefixes"
     )
+    # Of two sets, the larger one probes (similarity <= overlap / n) the smaller one's index (overlap of equals).
+    probe = f"n - cast(ceil({numerator} * n / {denominator}) as int) + 1"
+    index = f"n - cast(ceil({2 * numerator} * n / {denominator + numerator}) as int) + 1"
+    rows = ordered.select(
+        "c", "n", "g", F.expr(f"posexplode(slice(_prefix, 1, {probe}))").alias("_at", "token")
+    ).select("c", "n", "g", "token", F.expr(f"_at < {index}").alias("indexed"))
     apart = Window.partitionBy("token")
+    inside = F.when(F.col("indexed"), F.col("g"))
     matrix = materialise(
-        rows.withColumn("_low", F.min("g").over(apart)).withColumn("_high", F.max("g").over(apart))
-        .where("_low < _high").drop("_low", "_high"),
+        rows.withColumn("_low", F.min(inside).over(apart)).withColumn("_high", F.max(inside).over(apart))
+        .withColumn("_lowest", F.min("g").over(apart)).withColumn("_highest", F.max("g").over(apart))
+        .where("_low is not null and _lowest < _highest and (_low <> g or _high <> g or indexed)")
+        .drop("_low", "_high", "_lowest", "_highest"),
         "token_rows",
     )
-    unions = matrix.groupBy("token", "g").agg(F.min("n").alias("_least"), F.max("n").alias("_most")).withColumnRenamed("g", "h")
+    indexed = matrix.where("indexed")
+    unions = indexed.groupBy("token", "g").agg(F.min("n").alias("_least"), F.max("n").alias("_most")).withColumnRenamed("g", "h")
     opened = materialise(
-        matrix.join(unions, "token").where("h < g")
-        .where(f"{denominator} * _most >= {numerator} * n and {denominator} * n >= {numerator} * _least")
-        .groupBy("c", "h").agg(F.count("*").alias("_common")).where(F.col("_common") >= SHARED).select("c", "h"),
+        matrix.join(unions, "token").where(f"h <> g and _least <= n and {denominator} * _most >= {numerator} * n")
+        .select("c", "h").distinct(),
         "opened",
     )
     asking = matrix.join(opened, "c").select("c", "n", "h", "token")
-    inside = matrix.select(F.col("c").alias("d"), F.col("n").alias("m"), F.col("g").alias("h"), "token")
+    within = indexed.select(F.col("c").alias("d"), F.col("n").alias("m"), F.col("g").alias("h"), "token")
+    found = (
+        asking.join(within, ["token", "h"]).where(f"m <= n and {denominator} * m >= {numerator} * n")
+        .select(F.greatest("c", "d").alias("a"), F.least("c", "d").alias("b")).distinct()
+    )
+    longer = ordered.select("c", "_prefix")
+    common = (
+        found.join(longer.withColumnRenamed("c", "a").withColumnRenamed("_prefix", "_pa"), "a")
+        .join(longer.withColumnRenamed("c", "b").withColumnRenamed("_prefix", "_pb"), "b")
+    )
     across = materialise(
-        asking.join(inside, ["token", "h"]).where(_comparable("n", "m", numerator, denominator))
-        .groupBy("c", "d").agg(F.count("*").alias("_common")).where(F.col("_common") >= SHARED)
-        .select(F.col("c").alias("a"), F.col("d").alias("b")),
-        "pairs",
+        common.where(F.size(F.array_intersect("_pa", "_pb")) >= SHARED).select("a", "b"), "pairs"
     )
     links = stars.unionByName(_verified(across, texts, width, numerator, denominator))
     parts = materialise(components(links), "components")
