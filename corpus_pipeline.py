@@ -24,9 +24,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The languages are learned from the labels that the documents carry.
     """
     ship_package(spark)
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
-    found = identify(rows, fit_languages(docs), carry=["_row"])
-    return found.where("lang_pred <> 'und'").select("_row.*")
+    others = F.struct(*[c for c in docs.columns if c != "text"]).alias("_row")
+    found = identify(docs.select("doc_id", "text", others), fit_languages(docs), carry=["_row", "text"])
+    return found.where("lang_pred <> 'und'").select("_row.*", "text").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,7 +91,7 @@ class SegmentIds:
     library on short strings; segments with other characters or special strings by the library itself.
     """
 
-    def __init__(self, path: str, ranks: str, cache_entries: int = 600_000):
+    def __init__(self, path: str, ranks: str, cache_entries: int = 300_000):
         import base64
 
         import public_tokenizers

@@ -20,7 +20,7 @@ from spendguard.llm.registry import query, table
 
 BITS = 18
 SLICE = 1 << 12
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 2_000_000
 
 # ASCII letters to lower case, other ASCII to the border byte; bytes of longer characters stay.
 _FOLD = np.full(256, 32, np.uint32)
@@ -210,23 +210,30 @@ def identify(
         names = np.array([*langs, "und"], object)
         for batch in batches:
             found, trust = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
+            letters = batch.column(1).to_numpy(zero_copy_only=False)
             for start, end, data, offsets in text_chunks(batch.column(0)) if langs else ():
                 hashed, first, row = word_grams(data, offsets)
                 if len(first):
                     scores = np.stack([np.add.reduceat(w[hashed], first) for w in shared.value], axis=1)
                     found[start:end], trust[start:end] = mixture(scores, row, end - start)
+            found[~letters], trust[~letters] = -1, 0.0
+            kept = [batch.column(c) for c in names_out]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(names[found], pa.string()), pa.array(trust)], [*batch.schema.names[1:], "lang_pred", "score"]
+                [*kept, pa.array(names[found], pa.string()), pa.array(trust)], [*names_out, "lang_pred", "score"]
             )
 
     text = F.col(text_col).cast("string")
+    others = {c: f"_keep_{i}" for i, c in enumerate(carry) if c not in (id_col, text_col)}
+    inner = {**others, text_col: "_text"}
     slim = docs.select(
-        F.when(text.rlike(r"\p{L}"), text).alias("_text"), F.col(id_col).alias("_id"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(carry)]
-    )
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name != "_text")
+        text.alias("_text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letters"), F.col(id_col).alias("_id"),
+        *[F.col(c).alias(n) for c, n in others.items()],
+    )
+    names_out = ["_id", *[inner[c] for c in carry if c != id_col]]
+    schema = ", ".join(f"{n} {slim.schema[n].dataType.simpleString()}" for n in names_out)
     out = slim.mapInArrow(predict, schema + ", lang_pred string, score double")
     return out.select(
-        F.col("_id").alias(id_col), *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(carry)], "lang_pred", "score"
+        F.col("_id").alias(id_col), *[F.col(inner[c]).alias(c) for c in carry if c != id_col], "lang_pred", "score"
     )
 
 
