@@ -52,6 +52,7 @@ PARAMS = Params(
     default_year=2000,
     hash_mode="compat",
     contamination_min=0.10,
+    min_rows_train=50,
     temporal_trend_start_year=2000,
     temporal_trend_end_year=2001,
 )
@@ -64,11 +65,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def min_rows(sf_dir: str) -> Params:
-    """The smallest scale factor has a tenth of the rows per category."""
-    return PARAMS.with_(min_rows_train=50) if "0.001" in sf_dir else PARAMS
-
-
 def price_index(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(INDEX, "year int, ipca_correction_factor double")
 
@@ -124,7 +120,7 @@ def derived(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Dat
 
 def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(
-        spark, sf_dir, "order_features", lambda: engineer_features(adjusted_orders(spark, sf_dir), min_rows(sf_dir))
+        spark, sf_dir, "order_features", lambda: engineer_features(adjusted_orders(spark, sf_dir), PARAMS)
     )
 
 

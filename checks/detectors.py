@@ -13,7 +13,6 @@ from checks.base import (
     SPACE,
     adjusted_orders,
     derived,
-    min_rows,
     order_contamination,
     order_features,
     order_points,
@@ -279,8 +278,7 @@ def gaussian_mixture(spark, sf_dir):
 @query("one_class_svm")
 def one_class_svm(spark, sf_dir):
     train, new = _split_points(spark, sf_dir)
-    vectors, _ = fit_ocsvm(train, PARAMS, SPACE)
-    return score_ocsvm(new, vectors, PARAMS, SPACE)
+    return score_ocsvm(new, fit_ocsvm(train, PARAMS, SPACE), PARAMS, SPACE)
 
 
 _FULL = PARAMS.with_(include_sod=True, gmm_max_components=3)
@@ -291,7 +289,7 @@ def full_run(spark, sf_dir):
     """Everything on `orders`, all six detectors; kept per application because many queries read it."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _RUNS:
-        _RUNS[key] = run(orders(spark, sf_dir), price_index(spark), _FULL.with_(min_rows_train=min_rows(sf_dir).min_rows_train))
+        _RUNS[key] = run(orders(spark, sf_dir), price_index(spark), _FULL)
     return _RUNS[key]
 
 

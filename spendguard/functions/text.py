@@ -13,7 +13,10 @@ _SPELLED = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "t
 _SINGLE = {"ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ł": "l", "Ł": "L", "ı": "i"}
 
 # Text that pandas reads as missing.
-NULL_TOKENS = ("", "nan", "NaN", "NA", "N/A", "n/a", "null", "NULL", "None", "<NA>", "#N/A")
+NULL_TOKENS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+)
 
 DECIMAL_BR = r"^[+-]?[0-9.]*(,[0-9]*)?([eE][+-]?[0-9]+)?$"
 
@@ -45,15 +48,20 @@ def category_key(c: Column) -> Column:
     return F.translate(F.upper(fold_ascii(c)), " /", "__")
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def null_token(c: Column, tokens: Sequence[str] = NULL_TOKENS) -> Column:
     """Trim, and turn the listed tokens into null."""
-    trimmed = F.trim(c)
+    trimmed = strip(c)
     return F.when(~trimmed.isin(*tokens), trimmed)
 
 
 def parse_decimal_br(c: Column) -> Column:
     """`1.234,56` → 1234.56; anything that is not a plain number gives null."""
-    text = F.trim(c)
+    text = strip(c)
     plain = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     return F.when(text.rlike(DECIMAL_BR), plain.try_cast("double"))
 

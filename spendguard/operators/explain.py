@@ -97,8 +97,7 @@ def explain(
 ) -> DataFrame:
     """Attributions of flagged records, one row per record and feature.
 
-    At most `shap_max_records` records per category are explained, picked by a fixed-seed sample; with
-    None every flagged record is.
+    Every flagged record is explained, unless `shap_max_records` asks for a fixed-seed sample per category.
     """
     wanted = flagged.select(C.CATEGORY_KEY, C.RECORD_ID)
     if params.shap_max_records is not None:

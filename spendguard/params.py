@@ -1,4 +1,4 @@
-"""Run parameters with their default values."""
+"""Run parameters. Names and default values are fixed values: a run must mean what its users expect."""
 
 from __future__ import annotations
 
@@ -31,21 +31,16 @@ class Params:
     iforest_sample: int = 256
     knn_k_candidates: tuple[int, ...] = (3, 5, 10, 15)
     lof_k_candidates: tuple[int, ...] = (3, 5, 10, 15)
-    lof_subsample_threshold: int = 20000
-    lof_subsample_size: int = 15000
-    silhouette_sample: int = 5000
     gmm_max_components: int = 8
     gmm_bic_sample: int = 5000
     gmm_reg_covar: float = 1e-4
     gmm_max_iter: int = 100
-    ocsvm_subsample_threshold: int = 10000
-    ocsvm_subsample_size: int = 8000
     ocsvm_nu: float = 0.1
     sod_subsample: int = 5000
     include_sod: bool = False
 
     ensemble_strategy: str = "consensus"
-    shap_max_records: int | None = 500
+    shap_max_records: int | None = None
     temporal_trend_start_year: int = 2011
     temporal_trend_end_year: int = 2025
     top_anomalies_per_category: int = 20

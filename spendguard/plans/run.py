@@ -64,8 +64,12 @@ def run(
         keyed = adjusted.withColumn("_key", category_key(F.col(C.VERBA)))
         wanted = keyed.where(F.col("_key") == category.upper()).drop("_key")
         if wanted.isEmpty():
-            available = [r[0] for r in keyed.where("_key is not null").select("_key").distinct().orderBy("_key").limit(100).collect()]
-            raise ValueError(f"category {category!r} not found; available: {', '.join(available)}")
+            keys = keyed.where("_key is not null").select("_key").distinct()
+            shown = [r[0] for r in keys.orderBy("_key").limit(100).collect()]
+            more = keys.count() - len(shown)
+            raise ValueError(
+                f"category {category!r} not found; available: {', '.join(shown)}{f' and {more} more' if more else ''}"
+            )
         adjusted = wanted
     train_rows = prepare_rows(modelled_rows(adjusted), params).where(F.col(C.SPLIT) == "train")
     means = fit_group_means(train_rows, params)

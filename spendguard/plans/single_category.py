@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,31 +14,34 @@ from spendguard import columns as C
 from spendguard.detectors.iforest import fit_iforest, score_iforest
 from spendguard.detectors.space import Space
 from spendguard.detectors.thresholds import fit_threshold, outside_fences
+from spendguard.operators.features import fill_counterparty
 from spendguard.operators.quantiles import quantile_columns
 from spendguard.params import Params
 from spendguard.scratch import materialise
 
-MAX_ENCODED = 500  # a column with more values keeps its most frequent ones; the rest share one code
+BUCKETS = 512  # every value, null among them, has one of so many codes
 
 
 def supplier_features(df: DataFrame, keep: Column, supplier: str = C.FAVORECIDO) -> DataFrame:
-    """Rows of the category with a non-negative amount, with the mean amount of their supplier."""
-    rows = df.where(keep & (F.col(C.VALOR) >= 0))
-    means = rows.groupBy(supplier).agg(F.avg(C.VALOR_ADJUSTED).alias("mean_value"))
-    return rows.drop("mean_value").join(means, supplier, "left").withColumns(
-        {"month": F.coalesce(F.month(C.VENCIMENTO), F.lit(0)), "day": F.coalesce(F.dayofmonth(C.VENCIMENTO), F.lit(0))}
+    """Rows of the category with a non-negative amount, the mean amount of their supplier and date parts.
+
+    A row without a supplier counts for the spender, as everywhere; without either, it shares the mean of such rows.
+    """
+    rows = fill_counterparty(df.where(keep & (F.col(C.VALOR) >= 0))).drop("mean_value")
+    means = rows.groupBy(F.col(supplier).alias("_supplier")).agg(F.avg(C.VALOR_ADJUSTED).alias("mean_value"))
+    dates = {"date_year": F.year, "month": F.month, "day": F.dayofmonth}
+    return (
+        rows.join(means, F.col(supplier).eqNullSafe(F.col("_supplier")), "left").drop("_supplier")
+        .withColumns({n: F.coalesce(f(C.VENCIMENTO), F.lit(0)) for n, f in dates.items()})
+        .withColumn("mean_value", F.coalesce("mean_value", F.lit(0.0)))
     )
 
 
 def component_points(
-    rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str], k: int, max_encoded: int = MAX_ENCODED
+    rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str], k: int, buckets: int = BUCKETS
 ) -> tuple[DataFrame, Space]:
-    """Principal components of standardised numbers and one-hot columns."""
-    common = rows
-    for c in categorical:
-        top = rows.groupBy(c).count().orderBy(F.col("count").desc(), c).limit(max_encoded)
-        common = common.join(top.select(F.col(c).alias(f"_{c}")), F.col(c) == F.col(f"_{c}"), "left")
-    common = common.withColumns({f"_{c}": F.coalesce(f"_{c}", F.lit("other")) for c in categorical})
+    """Principal components of standardised numbers and one-hot hash buckets."""
+    common = rows.withColumns({f"_{c}": F.pmod(F.xxhash64(c, F.col(c).isNull()), F.lit(buckets)).cast("int") for c in categorical})
     stats = common.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in numeric for n, f in (("m", F.avg), ("s", F.stddev_pop))])
     stats = materialise(stats.withColumn("_one", F.lit(1)), "single_scaler")
     common = common.withColumn("_one", F.lit(1)).join(stats, "_one")
@@ -46,8 +49,7 @@ def component_points(
         scale = F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(1.0)
         common = common.withColumn(f"x_{c}", (F.col(c).cast("double") - F.col(f"m_{c}")) / scale)
     stages = [
-        StringIndexer(inputCols=[f"_{c}" for c in categorical], outputCols=[f"i_{c}" for c in categorical]),
-        OneHotEncoder(inputCols=[f"i_{c}" for c in categorical], outputCols=[f"h_{c}" for c in categorical], dropLast=False),
+        OneHotEncoder(inputCols=[f"_{c}" for c in categorical], outputCols=[f"h_{c}" for c in categorical], dropLast=False),
         VectorAssembler(inputCols=[*[f"x_{c}" for c in numeric], *[f"h_{c}" for c in categorical]], outputCol="_x"),
         PCA(k=k, inputCol="_x", outputCol="_pc"),
     ]
@@ -77,7 +79,7 @@ def single_category_forest(
 ) -> DataFrame:
     """Score and flag (`score`, `anomaly`) every kept row of one category."""
     rows = materialise(supplier_features(df, keep), "single_rows")
-    points, space = component_points(rows, (C.VALOR_ADJUSTED, "mean_value", "month", "day"), categorical, k)
+    points, space = component_points(rows, (C.VALOR_ADJUSTED, "mean_value", "date_year", "month", "day"), categorical, k)
     scores = materialise(score_iforest(points, fit_iforest(points, params, space), params, space), "single_scores")
     limit = fit_threshold(scores, fence_fraction(rows, params), [C.CATEGORY_KEY]).select(C.CATEGORY_KEY, "threshold")
     flagged = scores.join(limit, C.CATEGORY_KEY).select(

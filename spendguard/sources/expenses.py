@@ -77,7 +77,9 @@ def _with_ids(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
         .drop("_chunk")
     )
     return few.unionByName(many).select(
-        F.xxhash64("_file", *columns, "_copy").alias(C.RECORD_ID), *columns, C.YEAR
+        # The hash passes over nulls, so their places are hashed too.
+        F.xxhash64("_file", *columns, F.array(*[F.col(c).isNull() for c in columns]), "_copy").alias(C.RECORD_ID),
+        *columns, C.YEAR,
     )
 
 

@@ -8,12 +8,22 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from spendguard import columns as C
+from spendguard.scratch import delete
 
 
 def write_layer(
-    df: DataFrame, path: str, partition_by: Sequence[str] = (C.CATEGORY_KEY,), mode: str = "overwrite"
+    df: DataFrame,
+    path: str,
+    partition_by: Sequence[str] = (C.CATEGORY_KEY,),
+    mode: str = "overwrite",
+    covered: DataFrame | None = None,
 ) -> None:
-    """Write a layer partitioned by category; only partitions present in `df` are replaced."""
+    """Write a layer partitioned by category; only partitions present in `df` are replaced.
+
+    `covered` lists the categories that the run dealt with: those without rows in `df` lose their old rows.
+    """
+    if covered is not None:
+        clear_categories(covered, path)
     (
         df.write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
@@ -22,6 +32,14 @@ def write_layer(
     )
 
 
+def clear_categories(covered: DataFrame, path: str) -> None:
+    """Delete the folders of the listed categories below `path`; their list passes through the driver."""
+    spark = covered.sparkSession
+    names = [r[0] for r in covered.select(C.CATEGORY_KEY).where(f"{C.CATEGORY_KEY} is not null").distinct().collect()]
+    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    delete(spark, *[f"{path}/{C.CATEGORY_KEY}={escape(str(n))}" for n in names])
+
+
 def read_layer(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -6,12 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendguard import columns as C
-from spendguard.sources.layers import write_layer
+from spendguard.sources.layers import clear_categories, write_layer
 
 
-def write_results(flagged: DataFrame, path: str, format: str = "parquet") -> None:
-    """Flagged records, one folder per category; a run replaces only its own categories."""
+def write_results(flagged: DataFrame, path: str, format: str = "parquet", covered: DataFrame | None = None) -> None:
+    """Flagged records, one folder per category; a run replaces only its own categories.
+
+    `covered` lists the run's categories, so that those without flags lose the flags of an earlier run. The
+    columns are kept beside the rows: results without any flag can be read too.
+    """
+    if covered is not None:
+        clear_categories(covered, path)
     if format == "parquet":
+        flagged.limit(0).write.mode("overwrite").parquet(f"{path}/_columns")
         write_layer(flagged, path)
         return
     (
@@ -25,13 +32,16 @@ def write_results(flagged: DataFrame, path: str, format: str = "parquet") -> Non
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Flagged records of all categories; the folder name gives `category`."""
-    found = spark.read.parquet(path)
+    """Flagged records of all categories; the folder name gives `category`, always as text."""
+    columns = spark.read.parquet(f"{path}/_columns").schema
+    found = spark.read.schema(columns).parquet(path)
     return found.where(F.col("ensemble_flag") == 1).withColumn("category", F.col(C.CATEGORY_KEY))
 
 
-def write_metrics(metrics: DataFrame, path: str) -> None:
-    """One JSON document per category."""
+def write_metrics(metrics: DataFrame, path: str, covered: DataFrame | None = None) -> None:
+    """One JSON document per category; `covered` as in `write_results`."""
+    if covered is not None:
+        clear_categories(covered, path)
     (
         metrics.withColumn(C.CATEGORY_KEY, F.col("category"))
         .write.mode("overwrite")

@@ -14,7 +14,8 @@ from spendguard.detectors.grouped import map_with_model
 from spendguard.detectors.iforest import average_path, fit_iforest, score_iforest
 from spendguard.detectors.lof import lof_reference
 from spendguard.detectors.neighbors import nearest, pack_blocks
-from spendguard.detectors.ocsvm import dual_weights, fit_ocsvm, score_ocsvm
+from spendguard.detectors.ocsvm import fit_ocsvm, score_ocsvm
+from spendguard.detectors.silhouette import squared_silhouette
 from spendguard.detectors.space import Space, apply_scaler, dense_points, fit_buckets, fit_scaler, shares_by_category
 from spendguard.operators.explain import tree_shap
 from spendguard.params import Params
@@ -209,23 +210,54 @@ def test_em_finds_separate_groups():
     assert ll > ll_one and isinstance(one, Mixture)
 
 
-def test_support_vectors_satisfy_the_optimum():
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(200, 3))
-    kernel = np.exp(-0.3 * ((x[:, None] - x[None]) ** 2).sum(-1))
-    alpha, rho = dual_weights(lambda i: kernel[i], 200, 0.1)
+def exact_weights(kernel, nu, steps=20000):
+    """Minimise ½ αᵀKα with 0 ≤ α ≤ 1 and Σα = νn by moving weight between the most violating pair."""
+    n = len(kernel)
+    alpha = np.zeros(n)
+    alpha[: int(nu * n)] = 1.0
     grad = kernel @ alpha
-    assert alpha.sum() == pytest.approx(20) and alpha.min() >= 0 and alpha.max() <= 1
-    assert grad[alpha <= 0].min() >= rho - 2e-3 and grad[alpha >= 1].max() <= rho + 2e-3
-    assert (grad < rho - 2e-3).mean() <= 0.1 + 1e-9
+    for _ in range(steps):
+        i, j = np.where(alpha < 1, grad, np.inf).argmin(), np.where(alpha > 0, grad, -np.inf).argmax()
+        if grad[j] - grad[i] < 1e-3:
+            break
+        move = min((grad[j] - grad[i]) / max(2 - 2 * kernel[i, j], 1e-12), 1 - alpha[i], alpha[j])
+        alpha[i] += move
+        alpha[j] -= move
+        grad += move * (kernel[i] - kernel[j])
+    return grad
 
 
 def test_one_class_svm(data):
     pdf, _, points, _ = data
-    vectors, _ = fit_ocsvm(points, PARAMS, SPACE)
-    scored, found = top_decile(score_ocsvm(points, vectors, PARAMS, SPACE), pdf)
+    model = fit_ocsvm(points, PARAMS, SPACE)
+    scored, found = top_decile(score_ocsvm(points, model, PARAMS, SPACE), pdf)
     assert found
     assert ((scored.score > 0).groupby(scored.category_key).mean() < 0.12).all()
+    # The exact kernel solution ranks the rows alike.
+    ids, x = dense(pdf, "BIG")
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1) / SPACE.width)
+    want = pd.Series(-exact_weights(kernel, PARAMS.ocsvm_nu)).rank()
+    mine = scored.set_index("record_id").score[ids].reset_index(drop=True).rank()
+    assert np.corrcoef(want, mine)[0, 1] > 0.8
+
+
+def test_squared_silhouette(data):
+    pdf, _, points, _ = data
+    labels = F.array((F.col("z_a") > 0.3).cast("int"), (F.col("z_b") > 0.5).cast("int"), F.lit(1))
+    labelled = materialise(points.withColumn("labels", labels))
+    got = {(r.category_key, r.labelling): r.silhouette for r in squared_silhouette(labelled, SPACE).collect()}
+    assert {k for _, k in got} == {0, 1}
+    for key in ("BIG", "SMALL"):
+        _, x = dense(pdf, key)
+        rows = labelled.where(F.col("category_key") == key).orderBy("record_id").toPandas()
+        d = ((x[:, None] - x[None]) ** 2).sum(-1)
+        for k in (0, 1):
+            mine = np.array([v[k] for v in rows.labels])
+            one = np.stack([d[:, mine == g].mean(1) for g in (0, 1)], axis=1)
+            n = np.array([(mine == g).sum() for g in (0, 1)])
+            inside = one[np.arange(len(x)), mine] * n[mine] / (n[mine] - 1)
+            outside = one[np.arange(len(x)), 1 - mine]
+            assert got[key, k] == pytest.approx(((outside - inside) / np.maximum(inside, outside)).mean(), abs=1e-9)
 
 
 def test_model_in_chunks_equals_model_everywhere(data):

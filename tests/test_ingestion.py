@@ -109,3 +109,10 @@ def test_layers(spark, tmp_path):
     write_layer(spark.createDataFrame([(99, "1")], "id bigint, category_key string"), path)
     left = spark.read.parquet(path)
     assert left.where("category_key = 0").count() == 5 and left.where("category_key = 1").count() == 1
+
+
+def test_ids_tell_apart_where_a_value_stands(spark, tmp_path):
+    rows = ["Verba;Descrição;Conta;Favorecido;Trecho;Vencimento;Valor", "A;d;c;X;;2011-01-01;1,0", "A;d;c;;X;2011-01-01;1,0", "A;d;c;X;;2011-01-01;1,0"]
+    (tmp_path / "x_2011.csv").write_text("\n".join(rows), encoding="latin-1")
+    out = read_expenses(spark, str(tmp_path / "x_2011.csv"))
+    assert out.count() == out.select("record_id").distinct().count() == 3

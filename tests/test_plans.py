@@ -142,15 +142,26 @@ def test_year_window():
     assert Params.from_dict({"train_years": [1], "unknown": 2}).train_years == (1,)
 
 
-def test_sampled_fits_and_subspace_degree(expenses, index):
-    params = PARAMS.with_(
-        detectors=("lof", "ocsvm"), include_sod=True, lof_subsample_threshold=150, lof_subsample_size=120,
-        ocsvm_subsample_threshold=150, ocsvm_subsample_size=120, sod_subsample=100,
-    )
+def test_whole_fits_and_subspace_degree(expenses, index):
+    params = PARAMS.with_(detectors=("lof", "ocsvm"), include_sod=True, sod_subsample=100)
     out = run(expenses, index, params)
-    assert out.models["lof"].groupBy("category_key").count().where("count <> 120").isEmpty()
+    rows = out.features.where("split = 'train'").groupBy("category_key").count().withColumnRenamed("count", "n")
+    fitted = out.models["lof"].groupBy("category_key").count()
+    assert fitted.join(rows, "category_key").where("count <> n").isEmpty() and not fitted.isEmpty()
     assert out.models["sod"].groupBy("category_key").count().where("count <> 100").isEmpty()
     p = out.predictions
     assert p.where("score_lof is null or score_ocsvm is null or score_sod is null").isEmpty()
     assert p.groupBy("category_key").agg(F.max("score_sod").alias("m")).where("m <> 1").isEmpty()
     assert out.attributions is None and "top_feature" not in out.flagged.columns
+
+
+def test_results_of_a_later_run_leave_no_old_flags(spark, done, tmp_path):
+    path = str(tmp_path / "flags")
+    covered = done.models.registry().select("category_key")
+    write_results(done.flagged, path, covered=covered)
+    before = {r[0] for r in read_results(spark, path).select("category").distinct().collect()}
+    one = sorted(before)[0]
+    write_results(done.flagged.where(F.col("category_key") == one), path, covered=covered)
+    assert {r[0] for r in read_results(spark, path).select("category").distinct().collect()} == {one}
+    write_results(done.flagged.limit(0), path, covered=covered)
+    assert read_results(spark, path).isEmpty()

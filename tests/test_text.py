@@ -76,3 +76,11 @@ def test_counters_come_with_the_main_job(spark):
     counted, seen = clean.ingestion_counters(df)
     counted.write.format("noop").mode("overwrite").save()
     assert seen.get["rows"] == 3 and seen.get["reversals"] == 1 and seen.get["valor_min"] == -2.0
+
+
+def test_white_space_and_missing_tokens(spark):
+    from spendguard.functions.text import null_token, parse_decimal_br
+
+    df = spark.createDataFrame([("12,5\t", " nan\t"), ("\u00a01,0 ", "1.#IND"), ("x", " a b\n")], "v string, t string")
+    got = df.select(parse_decimal_br(F.col("v")), null_token(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [(12.5, None), (1.0, None), (None, "a b")]
