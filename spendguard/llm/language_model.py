@@ -30,7 +30,7 @@ from spendguard.llm.registry import query, table
 from spendguard.scratch import materialise, tasks
 
 END = np.uint64(0x5851F42D4C957F2D)
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -59,6 +59,12 @@ class Model:
         return np.where(self.frequent[at] == words, at + 1, 0).astype(np.uint16)
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one by one: a row can be large."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words with an end per row, their rows, and the word before each (the end before a row's first)."""
     words, row = word_hashes(data, offsets)
@@ -236,7 +242,7 @@ def _merge(rows: DataFrame, kind: str) -> DataFrame:
                     [part.column(1), *blank, part.column(0), *(part.column(c) for c in ("ids", "held", "n_tokens"))],
                     [*names, "ids", "held", "n_tokens"],
                 )
-            for row in batch.select(["block", "bucket", *_BLOBS]).take(pa.array(np.flatnonzero(numbers >= 0))).to_pylist():
+            for row in _each(batch.select(["block", "bucket", *_BLOBS]).take(pa.array(np.flatnonzero(numbers >= 0)))):
                 if waiting and waiting[0]["bucket"] != row["bucket"]:
                     yield flush()
                     waiting.clear()
@@ -360,7 +366,7 @@ def _round(merged: DataFrame, model: Model, kept: int) -> dict[tuple[str, int],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 found = list(Bucket(row, shared.value).totals(0, kept))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int32(), pa.int32(), pa.float64()))],
@@ -401,7 +407,7 @@ def score_texts(
     held: F.Column | None = None,
     contexts: int = 4_000,
     samples: int = 3,
-    tokens_per_bucket: int = 3_000_000,
+    tokens_per_bucket: int = 1_000_000,
     seed: int = 17,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -440,7 +446,7 @@ def score_texts(
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 bucket = Bucket(row, shared.value)
                 score, base = bucket.log_scores(samples)
                 known = np.where(bucket.cold, bucket.word_counts > 0, shared.value.word_counts[np.maximum(bucket.hot, 0)] > 0)
