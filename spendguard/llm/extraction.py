@@ -61,6 +61,19 @@ def _is_aside(attrs: str) -> bool:
     return False
 
 
+def _close_implied(stack: list, tag: str) -> None:
+    """Close elements whose end tag is left out: a block ends a paragraph, an item the item before it."""
+    for i in range(len(stack) - 1, -1, -1):
+        name = stack[i][0]
+        if name == "p":
+            del stack[i:]
+        elif name == tag and tag in ("li", "dt", "dd", "tr", "td", "th"):
+            del stack[i:]
+            return
+        elif name in BLOCKS:
+            return
+
+
 def page_items(page: str):
     """(feature, words, block, text or None, dropped, marked) of every text and tag of a page, in order.
 
@@ -88,10 +101,9 @@ def page_items(page: str):
                 marked = marked and bool(stack) and stack[-1][2]
             items.append((label, 0, block, None, dropped, marked))
             if not m["close"] and tag not in VOID and not m["attrs"].rstrip().endswith("/"):
-                if tag in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and any(t == tag for t, _, _ in stack[-3:]):
-                    while stack.pop()[0] != tag:  # an element whose end tag is left out
-                        pass
-                    name, dropped, marked = stack[-1] if stack else ("", False, False)
+                if tag in BLOCKS:
+                    _close_implied(stack, tag)
+                    _, dropped, marked = stack[-1] if stack else ("", False, False)
                 stack.append((tag, dropped or aside or tag in NEVER, marked or tag in MARKS))
             if tag == "br":
                 items.append(("in br", 0, block, " ", dropped, marked))
