@@ -6,8 +6,8 @@
 3. The token-group matrix holds, for every group, the union of its members' index tokens: under one global order
    of tokens (rare ones first), a set that overlaps enough with a larger one shares a token of its index prefix
    with the larger one's probe prefix. A document whose probe tokens are not in a group's row overlaps too
-   little with every member; only the other groups are opened. Members are bounded by their sizes, and by
-   `SHARED` common tokens of slightly longer prefixes.
+   little with every member; only the other groups are opened. Pairs with members are bounded by their
+   sizes and by the tokens they share in slightly longer prefixes.
 4. Opened pairs are verified with their whole sets; all links together give the components.
 
 Hashes stand for n-grams (64 bits); sets are compared whole. No step pairs the members of a group.
@@ -302,11 +302,12 @@ def similar_documents(
         prefixes.join(members, prefixes["_id"] == members["c"]).dropDuplicates(["c"]).select("c", "n", "g", "_prefix"), "prefixes"
     )
     # Of two sets, the larger one probes (similarity <= overlap / n) the smaller one's index (overlap of equals).
-    probe = f"n - cast(ceil({numerator} * n / {denominator}) as int) + 1"
-    index = f"n - cast(ceil({2 * numerator} * n / {denominator + numerator}) as int) + 1"
+    # Sets of n and m need an overlap of `overlap(n, m)`; where both sizes are known, prefixes shrink to it.
+    needed = lambda n: f"(({numerator} * {n} + {denominator - 1}) div {denominator})"
+    overlap = lambda n, m: f"(({numerator} * ({n} + {m}) + {denominator + numerator - 1}) div {denominator + numerator})"
     rows = ordered.select(
-        "c", "n", "g", F.expr(f"posexplode(slice(_prefix, 1, {probe}))").alias("_at", "token")
-    ).select("c", "n", "g", "token", F.expr(f"_at < {index}").alias("indexed"))
+        "c", "n", "g", F.expr(f"posexplode(slice(_prefix, 1, cast(n - {needed('n')} + 1 as int)))").alias("_at", "token")
+    ).withColumn("indexed", F.expr(f"_at < n - {overlap('n', 'n')} + 1"))
     apart = Window.partitionBy("token")
     inside = F.when(F.col("indexed"), F.col("g"))
     matrix = materialise(
@@ -318,24 +319,30 @@ def similar_documents(
     )
     indexed = matrix.where("indexed")
     unions = indexed.groupBy("token", "g").agg(F.min("n").alias("_least"), F.max("n").alias("_most")).withColumnRenamed("g", "h")
+    smallest_other = f"greatest(_least, {needed('n')})"
     opened = materialise(
-        matrix.join(unions, "token").where(f"h <> g and _least <= n and {denominator} * _most >= {numerator} * n")
+        matrix.join(unions, "token")
+        .where(f"h <> g and _least <= n and {denominator} * _most >= {numerator} * n and _at <= n - {overlap('n', smallest_other)}")
         .select("c", "h").distinct(),
         "opened",
     )
-    asking = matrix.join(opened, "c").select("c", "n", "h", "token")
-    within = indexed.select(F.col("c").alias("d"), F.col("n").alias("m"), F.col("g").alias("h"), "token")
+    asking = matrix.join(opened, "c").select("c", "n", "h", "token", "_at")
+    within = indexed.select(
+        F.col("c").alias("d"), F.col("n").alias("m"), F.col("g").alias("h"), "token", F.col("_at").alias("_to")
+    )
     found = (
         asking.join(within, ["token", "h"]).where(f"m <= n and {denominator} * m >= {numerator} * n")
-        .select(F.greatest("c", "d").alias("a"), F.least("c", "d").alias("b")).distinct()
+        .where(f"_at <= n - {overlap('n', 'm')} and _to <= m - {overlap('n', 'm')}").select("c", "d", "n", "m").distinct()
     )
     longer = ordered.select("c", "_prefix")
+    shared = f"{SHARED} + least({overlap('n', 'm')} - {needed('n')}, {overlap('n', 'm')} - {needed('m')})"
     common = (
-        found.join(longer.withColumnRenamed("c", "a").withColumnRenamed("_prefix", "_pa"), "a")
-        .join(longer.withColumnRenamed("c", "b").withColumnRenamed("_prefix", "_pb"), "b")
+        found.join(longer.withColumnRenamed("_prefix", "_pc"), "c")
+        .join(longer.withColumnRenamed("c", "d").withColumnRenamed("_prefix", "_pd"), "d")
+        .where(f"size(array_intersect(_pc, _pd)) >= {shared}")
     )
     across = materialise(
-        common.where(F.size(F.array_intersect("_pa", "_pb")) >= SHARED).select("a", "b"), "pairs"
+        common.select(F.greatest("c", "d").alias("a"), F.least("c", "d").alias("b")).distinct(), "pairs"
     )
     links = stars.unionByName(_verified(across, texts, width, numerator, denominator))
     parts = materialise(components(links), "components")
