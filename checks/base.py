@@ -51,7 +51,6 @@ PARAMS = Params(
     excluded_years=(1997,),
     default_year=2000,
     hash_mode="compat",
-    contamination_min=0.10,
     min_rows_train=50,
     temporal_trend_start_year=2000,
     temporal_trend_end_year=2001,
@@ -69,14 +68,32 @@ def price_index(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(INDEX, "year int, ipca_correction_factor double")
 
 
+# Amounts of `orders` are even; powers of them have outliers, by category none at all, some or very many.
+POWERS = {"1": 1, "2": 4, "3": 5, "4": 6}
+REST = 10
+
+
+def _power(w: str, n: int) -> str:
+    """Products in one order on both sides, so that the amounts agree to the last bit."""
+    return " * ".join([f"({w} * {w})"] * (n // 2) + [w] * (n % 2))
+
+
+def _heavy_amount(w: str) -> str:
+    cases = " ".join(f"WHEN '{c}' THEN {_power(w, n)}" for c, n in POWERS.items())
+    return f"1000 + 100 * {w} + 100000 * (CASE substring(o_orderpriority, 1, 1) {cases} ELSE {_power(w, REST)} END)"
+
+
+HEAVY_AMOUNT = _heavy_amount("(o_totalprice / CAST(500000 AS DOUBLE))")
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`orders` as expenses: priority is the category, the customer spends, the status is paid."""
+    """`orders` as expenses: priority is the category, the customer spends, the status is paid; heavy-tailed amounts."""
     return as_expenses(
         table(spark, sf_dir, "orders"),
         record_id=F.col("o_orderkey"),
         verba=F.col("o_orderpriority"),
         conta=F.col("o_custkey"),
-        valor=F.col("o_totalprice"),
+        valor=F.expr(HEAVY_AMOUNT),
         vencimento=F.col("o_orderdate"),
         favorecido=F.col("o_orderstatus"),
     )
@@ -194,7 +211,7 @@ def key_sql(c: str) -> str:
 ORDERS_CTE = f"""
 idx(y, f) AS (VALUES {INDEX_VALUES}),
 exp AS (SELECT o_orderkey AS record_id, o_orderpriority AS verba, CAST(o_custkey AS VARCHAR) AS conta,
-    o_orderstatus AS favorecido, o_totalprice AS valor, o_orderdate AS vencimento,
+    o_orderstatus AS favorecido, {HEAVY_AMOUNT} AS valor, o_orderdate AS vencimento,
     CAST(year(o_orderdate) AS INTEGER) AS year FROM orders),
 adj AS (SELECT exp.*, coalesce(f, 1.0::DOUBLE) AS ipca_factor, valor * coalesce(f, 1.0::DOUBLE) AS valor_adjusted,
     {SPLIT_CASE} AS split FROM exp LEFT JOIN idx ON y = year)"""
@@ -280,15 +297,27 @@ fence AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower, q3 + 1.5 * (q3 - q1) AS upper
 cont AS (SELECT category_key, q1, q3, lower, upper, count(*) AS n_train,
     sum(CASE WHEN valor_adjusted < lower OR valor_adjusted > upper THEN 1 ELSE 0 END)::BIGINT AS n_outliers,
     avg(CASE WHEN valor_adjusted < lower OR valor_adjusted > upper THEN 1.0 ELSE 0.0 END) AS outlier_share,
-    greatest(0.10, least(0.15, avg(CASE WHEN valor_adjusted < lower OR valor_adjusted > upper THEN 1.0 ELSE 0.0 END))) AS contamination
+    greatest(0.01, least(0.15, avg(CASE WHEN valor_adjusted < lower OR valor_adjusted > upper THEN 1.0 ELSE 0.0 END))) AS contamination
     FROM feat JOIN fence USING (category_key) WHERE split = 'train' GROUP BY ALL)"""
 
+
+
+def thresholds_cte(name: str, source: str, keys: str, value: str, out: str) -> str:
+    """Quantile of `value` at 1 less the category's contamination, interpolated, per `keys` (with category_key)."""
+    return f"""{name} AS (SELECT {keys}, lo + (hi - lo) * part AS {out} FROM (
+    SELECT {keys}, max(CASE WHEN rn = floor(pos) THEN v END) AS lo, max(CASE WHEN rn = ceil(pos) THEN v END) AS hi, any_value(pos - floor(pos)) AS part
+    FROM (SELECT {keys}, {value} AS v, row_number() OVER (PARTITION BY {keys} ORDER BY {value}) - 1 AS rn,
+        (1 - contamination) * (count(*) OVER (PARTITION BY {keys}) - 1) AS pos FROM {source} JOIN cont USING (category_key)) GROUP BY {keys}))"""
+
+
 PANEL_CTE = f"""{FEATURES_CTE},{CONTAMINATION_CTE},
 sc AS (SELECT category_key, avg(valor_adjusted) AS mu, stddev_pop(valor_adjusted) AS sd FROM feat WHERE split = 'train' GROUP BY ALL),
 raw AS (SELECT feat.*, abs((valor_adjusted - mu) / sd) AS raw_spread, abs(valor_adjusted - mean_value) AS raw_drift
     FROM feat JOIN sc USING (category_key)),
-lim AS (SELECT category_key, quantile_cont(raw_spread, 0.9) AS t_spread, quantile_cont(raw_drift, 0.9) AS t_drift
-    FROM raw WHERE split = 'train' GROUP BY ALL),
+raw_train AS (SELECT * FROM raw WHERE split = 'train'),
+{thresholds_cte('lim_s', 'raw_train', 'category_key', 'raw_spread', 't_spread')},
+{thresholds_cte('lim_d', 'raw_train', 'category_key', 'raw_drift', 't_drift')},
+lim AS (SELECT * FROM lim_s JOIN lim_d USING (category_key)),
 scored AS (SELECT raw.*, CAST(raw_spread > t_spread AS INTEGER) AS anomaly_spread, CAST(raw_drift > t_drift AS INTEGER) AS anomaly_drift,
     (raw_spread - min(raw_spread) OVER c) / (max(raw_spread) OVER c - min(raw_spread) OVER c) AS score_spread,
     (raw_drift - min(raw_drift) OVER c) / (max(raw_drift) OVER c - min(raw_drift) OVER c) AS score_drift

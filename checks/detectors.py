@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import (
+    CONTAMINATION_CTE,
     DISTANCE,
     NUMERIC,
     ORDERS_CTE,
@@ -20,6 +21,7 @@ from checks.base import (
     price_index,
     query,
     table,
+    thresholds_cte,
     train_of,
 )
 from spendguard.detectors.gmm import fit_gmm, score_gmm
@@ -158,10 +160,11 @@ def _neighbour_models(spark, sf_dir):
     return materialise(fitted, "nb_train"), materialise(scored, "nb_scored")
 
 
-_LIMITS = f"""{_LOF},
+_LIMITS = f"""{_LOF},{CONTAMINATION_CTE},
 raw_t AS (SELECT category_key, record_id, 'knn' AS model, near[{_K}].d AS score FROM tt UNION ALL SELECT category_key, record_id, 'lof', score FROM lof_t),
 raw_q AS (SELECT category_key, record_id, 'knn' AS model, near[{_K}].d AS score FROM qt UNION ALL SELECT category_key, record_id, 'lof', score FROM lof_q),
-lims AS (SELECT category_key, model, quantile_cont(score, 0.9) AS threshold, min(score) AS score_min, max(score) AS score_max FROM raw_t GROUP BY ALL)"""
+{thresholds_cte('cuts', 'raw_t', 'category_key, model', 'score', 'threshold')},
+lims AS (SELECT category_key, model, threshold, min(score) AS score_min, max(score) AS score_max FROM raw_t JOIN cuts USING (category_key, model) GROUP BY ALL)"""
 
 
 @query(
@@ -215,7 +218,7 @@ def neighbour_vote_frozen(spark, sf_dir):
 
 @query(
     "silhouette",
-    f"""WITH {POINTS_CTE}, l AS (SELECT *, CAST(z_valor_adjusted > -0.9 AS INTEGER) AS label FROM pts WHERE split = 'infer'),
+    f"""WITH {POINTS_CTE}, l AS (SELECT *, CAST(z_valor_adjusted > 0 AS INTEGER) AS label FROM pts WHERE split = 'infer'),
     p AS (SELECT q.category_key AS category_key, q.record_id AS record_id, q.label AS a, r.label AS b, sum({DISTANCE}) AS s FROM l q JOIN l r ON q.category_key = r.category_key GROUP BY ALL),
     n AS (SELECT category_key, label, count(*) AS n FROM l GROUP BY ALL),
     m AS (SELECT p.category_key AS category_key, record_id, sum(CASE WHEN a = b THEN s / (n - 1) END) AS inside, sum(CASE WHEN a <> b THEN s / n END) AS outside
@@ -224,7 +227,7 @@ def neighbour_vote_frozen(spark, sf_dir):
 )
 def silhouette_of_labels(spark, sf_dir):
     labelled = order_points(spark, sf_dir).where("split = 'infer'").withColumn(
-        "labels", F.array((F.col("z_valor_adjusted") > -0.9).cast("int"))
+        "labels", F.array((F.col("z_valor_adjusted") > 0).cast("int"))
     )
     return silhouette(labelled, SPACE).withColumn("silhouette", F.round("silhouette", 6))
 
