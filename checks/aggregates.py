@@ -95,7 +95,7 @@ metrics AS (SELECT category, n_records, n_flagged_ensemble, round(100 * n_flagge
     round(100 * contamination, 4) AS iqr_baseline_pct,
     round(contamination / greatest(n_flagged_ensemble / n_records, 1e-9), 2) AS reduction_factor,
     n_flagged_ensemble > 0 AS reduction_defined, round(r1, 6) AS rate_spread, round(r2, 6) AS rate_drift,
-    round(mean, 2) AS amount_mean, floor(round(med, 2)) AS amount_median, round(lo, 1) AS amount_min, round(hi, 1) AS amount_max
+    round(mean, 2) AS amount_mean, round(med, 2) AS amount_median, round(lo, 2) AS amount_min, round(hi, 2) AS amount_max
     FROM met JOIN cont ON cont.category_key = category)"""
 
 
@@ -109,8 +109,8 @@ def category_metrics(spark, sf_dir):
     return panel_metrics(spark, sf_dir).select(
         "category", "n_records", "n_flagged_ensemble", "flagged_pct", "iqr_baseline_pct", "reduction_factor",
         "reduction_defined", F.round(rate["spread"], 6).alias("rate_spread"), F.round(rate["drift"], 6).alias("rate_drift"),
-        amount["mean"].alias("amount_mean"), F.floor(amount["median"]).cast("double").alias("amount_median"),
-        F.round(amount["min"], 1).alias("amount_min"), F.round(amount["max"], 1).alias("amount_max"),
+        amount["mean"].alias("amount_mean"), amount["median"].alias("amount_median"),
+        amount["min"].alias("amount_min"), amount["max"].alias("amount_max"),
     )
 
 
