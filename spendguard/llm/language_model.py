@@ -30,7 +30,9 @@ from spendguard.llm.registry import query, table
 from spendguard.scratch import materialise, tasks
 
 END = np.uint64(0x5851F42D4C957F2D)
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 8_000_000
+HASH_BYTES = 1_000_000
+UNIT = 2.0**-26  # of the partial sums that buckets send
 
 
 @dataclass(frozen=True)
@@ -67,8 +69,15 @@ def _each(batch: pa.RecordBatch) -> Iterator[dict]:
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words with an end per row, their rows, and the word before each (the end before a row's first)."""
-    words, row = word_hashes(data, offsets)
     rows = len(offsets) - 1
+    parts, start = [], 0
+    while start < rows:  # hashing needs many bytes per byte of text, so it takes a few rows at a time
+        end = min(max(int(np.searchsorted(offsets, offsets[start] + HASH_BYTES, "right")) - 1, start + 1), rows)
+        w, r = word_hashes(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])
+        parts.append((w, r + start))
+        start = end
+    words = np.concatenate([w for w, _ in parts]) if parts else np.zeros(0, np.uint64)
+    row = np.concatenate([r for _, r in parts]) if parts else np.zeros(0, np.int64)
     out = np.full(len(words) + rows, END)
     out[np.arange(len(words)) + row] = words
     owner = np.repeat(np.arange(rows), np.bincount(row, minlength=rows) + 1)
@@ -215,7 +224,7 @@ def _merge(rows: DataFrame, kind: str) -> DataFrame:
         at = np.flatnonzero(new)
         total = np.bincount(pair, counts[order]).astype(np.uint64)
         docs_of = np.bincount(pair, n_docs[order]).astype(np.uint32)
-        occurrence = np.argsort(np.repeat(rank, n_docs), kind="stable")
+        occurrence = np.argsort(np.repeat(rank.astype(np.int32), n_docs), kind="stable")
         merged, n_pairs = np.unique(sw[at], return_counts=True)
         blobs = (np.diff(merged, prepend=np.uint64(0)), n_pairs.astype(np.uint16), sk[at], total, docs_of, where[occurrence], times[occurrence])
         return (bucket, np.array([p["block"] for p in parts], np.int64).tobytes(), *(b.tobytes() for b in blobs), None)
@@ -353,6 +362,15 @@ def _vector(kind: str, sample: int, places: np.ndarray, values: np.ndarray):
         yield kind, sample, int(at), float(summed[at])
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers, the lowest bytes of all first: the constant high bytes compress to nothing."""
+    return np.rint(values).astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
 def _hot_root(model: Model, sample: int) -> np.ndarray:
     """Root tables of the frequent words, from their root customers: every caller draws the same."""
     fresh = (model.root_strength + model.root_discount * model.root_tables[0]) / (model.types + 1)
@@ -407,7 +425,7 @@ def score_texts(
     held: F.Column | None = None,
     contexts: int = 4_000,
     samples: int = 3,
-    tokens_per_bucket: int = 1_000_000,
+    tokens_per_bucket: int = 3_000_000,
     seed: int = 17,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -452,17 +470,20 @@ def score_texts(
                 known = np.where(bucket.cold, bucket.word_counts > 0, shared.value.word_counts[np.maximum(bucket.hot, 0)] > 0)
                 pair = np.repeat(np.arange(len(score)), np.frombuffer(row["pair_docs"], np.uint32))
                 times = np.frombuffer(row["times"], np.uint32).astype(np.float64)
-                where, back = np.unique(np.frombuffer(row["where"], np.uint64), return_inverse=True)
-                sums = [
-                    np.bincount(back, times * v, minlength=len(where))
-                    for v in (known[bucket.word[pair]], base[bucket.word[pair]], score[pair])
-                ]
+                where = np.frombuffer(row["where"], np.uint64).astype(np.int64)
                 blocks = np.frombuffer(row["blocks"], np.int64)
-                part = (where >> np.uint64(16)).astype(np.int64)
-                cut = np.searchsorted(part, np.arange(len(blocks) + 1))
-                doc = (where & np.uint64(0xFFFF)).astype(np.uint16)
-                blobs = [[x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])] for x in (doc, sums[0].astype(np.uint32), sums[1], sums[2])]
-                yield pa.RecordBatch.from_arrays([pa.array(blocks), *(pa.array(b, pa.binary()) for b in blobs)], ["block", "docs", "known", "base", "score"])
+                wide = int((where & 0xFFFF).max()) + 1
+                place = (where >> 16) * wide + (where & 0xFFFF)
+                sums = [np.bincount(place, times * v, minlength=len(blocks) * wide).reshape(len(blocks), wide) for v in (
+                    np.ones(1), known[bucket.word[pair]], base[bucket.word[pair]], score[pair]
+                )]
+                out = []
+                for i, block in enumerate(blocks):
+                    docs = np.flatnonzero(sums[0][i])
+                    known_, base_, score_ = (x[i, docs] for x in sums[1:])
+                    out.append((int(block), docs.astype(np.uint16).tobytes(), _planes(known_), _planes(base_ / UNIT), _planes(score_ / UNIT)))
+                kinds = (pa.int64(), *[pa.binary()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["block", "docs", "known", "base", "score"])
 
     parts = merged.where("bucket >= 0").select(
         "bucket", "words", "word_pairs", "ks", "counts", "pair_docs", "where", "times", "blocks"
@@ -480,8 +501,8 @@ def score_texts(
         for row in group.select(["docs", "known", "base", "score"]).to_pylist():
             if row["docs"] is not None:
                 at = np.frombuffer(row["docs"], np.uint16)
-                for i, (c, t) in enumerate((("known", np.uint32), ("base", np.float64), ("score", np.float64))):
-                    sums[i, at] += np.frombuffer(row[c], t)
+                for i, (c, unit) in enumerate((("known", 1.0), ("base", UNIT), ("score", UNIT))):
+                    sums[i, at] += _numbers(row[c]) * unit
         return pa.table(
             {
                 "_id": ids, "held_out": group.column("held")[head].values, "n_tokens": group.column("n_tokens")[head].values,
