@@ -288,9 +288,11 @@ def column_profile(spark, sf_dir):
     "histogram",
     f"""WITH {PANEL_CTE}, g AS (SELECT category_key, valor_adjusted, CASE WHEN split = 'train' THEN 'train' ELSE 'eval' END AS conjunto FROM feat),
     r AS (SELECT category_key, min(valor_adjusted) AS lo, (max(valor_adjusted) - min(valor_adjusted)) / 80 AS w FROM g GROUP BY ALL),
-    t AS (SELECT category_key, conjunto, count(*) AS n FROM g GROUP BY ALL)
-    SELECT category_key, conjunto, CAST(least(floor((valor_adjusted - lo) / w) + 1, 80) AS INTEGER) AS bin, count(*) AS count,
-    round(count(*) / (n * w), 12) AS density FROM g JOIN r USING (category_key) JOIN t USING (category_key, conjunto) GROUP BY category_key, conjunto, bin, n, w""",
+    t AS (SELECT category_key, conjunto, count(*) AS n FROM g GROUP BY ALL),
+    c AS (SELECT category_key, conjunto, CAST(least(floor((valor_adjusted - lo) / w) + 1, 80) AS INTEGER) AS bin, count(*) AS c
+    FROM g JOIN r USING (category_key) GROUP BY ALL)
+    SELECT t.category_key AS category_key, t.conjunto AS conjunto, CAST(b AS INTEGER) AS bin, coalesce(c, 0) AS count, round(coalesce(c, 0) / (n * w), 12) AS density
+    FROM t JOIN r USING (category_key) CROSS JOIN range(1, 81) AS bins(b) LEFT JOIN c ON c.category_key = t.category_key AND c.conjunto = t.conjunto AND c.bin = b""",
 )
 def histogram(spark, sf_dir):
     grouped = order_features(spark, sf_dir).withColumn(

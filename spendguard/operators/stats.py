@@ -18,7 +18,7 @@ from spendguard.scratch import materialise
 def histogram(df: DataFrame, value: str, group: str, bins: int = 80, keys: Sequence[str] = (C.CATEGORY_KEY,)) -> DataFrame:
     """Density histogram with equal bins over the range of all groups of a key.
 
-    Returns keys, group, bin (1..bins), bin_start, bin_end, count, density.
+    Returns keys, group, bin (1..bins), bin_start, bin_end, count, density; bins without rows have count 0.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull())
@@ -30,10 +30,11 @@ def histogram(df: DataFrame, value: str, group: str, bins: int = 80, keys: Seque
     number = F.least(F.floor((F.col(value) - F.col("_lo")) / F.col("_w")).cast("int") + 1, F.lit(bins))
     counts = (
         rows.join(ranges.withColumn("_w", width), keys)
-        .groupBy(*keys, group, "_lo", "_w", number.alias("bin"))
+        .groupBy(*keys, group, number.alias("bin"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
-    return counts.join(totals, [*keys, group]).select(
+    frame = totals.join(ranges.withColumn("_w", width), keys).withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
+    return frame.join(counts, [*keys, group, "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0))).select(
         *keys,
         group,
         "bin",

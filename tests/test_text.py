@@ -84,3 +84,10 @@ def test_white_space_and_missing_tokens(spark):
     df = spark.createDataFrame([("12,5\t", " nan\t"), ("\u00a01,0 ", "1.#IND"), ("x", " a b\n")], "v string, t string")
     got = df.select(parse_decimal_br(F.col("v")), null_token(F.col("t"))).collect()
     assert [tuple(r) for r in got] == [(12.5, None), (1.0, None), (None, "a b")]
+
+
+def test_dropped_amounts_are_counted(spark):
+    df = spark.createDataFrame([("1,0",), ("abc",), (None,), ("2,5",)], "Valor string")
+    kept, counters = clean.counted_amounts(df, "dropped")
+    assert sorted(r["Valor"] for r in kept.collect()) == [1.0, 2.5]
+    assert counters.get == {"rows_read": 4, "rows_dropped": 2}
