@@ -14,6 +14,7 @@ seeds only, so a bucket can be seated again, alike, to score its words.
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
@@ -30,7 +31,7 @@ from spendguard.llm.registry import query, table
 from spendguard.scratch import materialise, tasks
 
 END = np.uint64(0x5851F42D4C957F2D)
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 2_000_000
 HASH_BYTES = 1_000_000
 UNIT = 2.0**-26  # of the partial sums that buckets send
 
@@ -65,6 +66,14 @@ def _each(batch: pa.RecordBatch) -> Iterator[dict]:
     """Rows one by one: a row can be large."""
     for i in range(batch.num_rows):
         yield batch.slice(i, 1).to_pylist()[0]
+        _give_back()
+
+
+def _give_back() -> None:
+    """Let the C library return freed memory, which a reused worker would keep through later stages."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,6 +162,7 @@ def _block_rows(texts: DataFrame, model: Model, kind: str) -> DataFrame:
                     lists = [pa.array([x[i] if x else None for x in columns[-1]], t) for i, t in enumerate((pa.list_(ids_all.type), pa.list_(pa.bool_()), pa.list_(pa.int64())))]
                     yield pa.RecordBatch.from_arrays([*arrays, *lists], [*schema.names, "ids", "held", "n_tokens"])
                     block += 1
+            _give_back()
 
     return texts.mapInArrow(
         run, f"block long, bucket int, {_ROW}, ids array<{kind}>, held array<boolean>, n_tokens array<long>"
@@ -425,7 +435,7 @@ def score_texts(
     held: F.Column | None = None,
     contexts: int = 4_000,
     samples: int = 3,
-    tokens_per_bucket: int = 3_000_000,
+    tokens_per_bucket: int = 1_500_000,
     seed: int = 17,
     id_col: str = "doc_id",
     text_col: str = "text",
