@@ -7,6 +7,7 @@ broadcasts it only when it is below `spark.sql.autoBroadcastJoinThreshold` and s
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -14,7 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _local_roots: dict[str, str] = {}
-_scopes: list[list[str]] = []
+
+
+class _Scopes(threading.local):
+    """Open scopes of a thread: a stream's micro-batches do not see those of the main program."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -38,8 +48,8 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write `df` to the shared folder and return the table read back."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.open:
+        _scopes.open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -53,24 +63,24 @@ def delete(spark: SparkSession, *paths: str) -> None:
 
 @contextmanager
 def scope(spark: SparkSession):
-    """Barrier tables written inside are deleted at the end; `keep` moves one to the scope around it."""
+    """Barrier tables that this thread writes inside are deleted at the end; `keep` writes one that stays."""
     paths: list[str] = []
-    _scopes.append(paths)
+    _scopes.open.append(paths)
     try:
         yield paths
     finally:
-        _scopes.remove(paths)
+        _scopes.open.pop()
         delete(spark, *paths)
 
 
 def keep(df: DataFrame, name: str = "kept") -> DataFrame:
     """Write `df` as a barrier that outlives the current scope."""
-    inner = _scopes.pop() if _scopes else None
+    inner = _scopes.open.pop() if _scopes.open else None
     try:
         return materialise(df, name)
     finally:
         if inner is not None:
-            _scopes.append(inner)
+            _scopes.open.append(inner)
 
 
 def tasks(spark: SparkSession) -> int:

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from spendguard import columns as C
 from spendguard.plans.fit import Models
 from spendguard.plans.score import score_records
+from spendguard.scratch import scope
 
 
 def score_stream(
@@ -17,12 +18,13 @@ def score_stream(
     """Score every micro-batch with frozen models and write it to `path`.
 
     The models never change, so batches are independent; a batch that is retried replaces its own
-    folder, so every record appears once.
+    folder, so every record appears once. Its barrier tables are deleted at its end.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored = score_records(batch, index, means, models)
-        scored.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        with scope(batch.sparkSession):
+            scored = score_records(batch, index, means, models)
+            scored.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

@@ -116,3 +116,16 @@ def test_ids_tell_apart_where_a_value_stands(spark, tmp_path):
     (tmp_path / "x_2011.csv").write_text("\n".join(rows), encoding="latin-1")
     out = read_expenses(spark, str(tmp_path / "x_2011.csv"))
     assert out.count() == out.select("record_id").distinct().count() == 3
+
+
+def test_scopes_delete_their_tables(spark):
+    from spendguard.scratch import delete, keep, materialise, scope
+
+    with scope(spark) as paths:
+        materialise(spark.range(3), "inner")
+        kept = keep(spark.range(4), "outer")
+        assert len(paths) == 1 and spark.read.parquet(paths[0]).count() == 3
+    assert kept.count() == 4
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(paths[0])
+    delete(spark, kept.inputFiles()[0])
