@@ -148,3 +148,23 @@ def test_pipeline_stages(spark, odd_docs, no_docs):
     assert packed.where("piece = 0").count() == mixed.count()
     for _, run in pipeline.STAGES:
         assert run(spark, no_docs.select(*docs.columns), SF_DIR).count() == 0
+
+
+def test_every_context_has_a_restaurant(spark):
+    """Rare contexts predict apart from each other, and the partitioning of the rows does not matter."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    frequent = [f"f{i}" for i in range(40)]
+    pairs = [(f"rare{i}", f"next{i}") for i in range(300)]
+    train = [" ".join([*rng.choice(frequent, 30), *pairs[i % 300], *rng.choice(frequent, 5)]) for i in range(1500)]
+    probes = [(f"rare{i} next{i}", f"rare{i} next{(i + 7) % 300}") for i in range(0, 300, 15)]
+    rows = [*enumerate(train), *[(10_000 + 2 * i + j, p[j]) for i, p in enumerate(probes) for j in (0, 1)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    results = []
+    for parts in (1, 7):
+        scored = score_texts(df.repartition(parts, "text"), F.col("doc_id") >= 10_000, hot_words=20, tokens_per_bucket=10_000)
+        results.append({r["doc_id"]: (r["n_known"], r["score"]) for r in scored.collect()})
+    assert results[0] == results[1]
+    right, wrong = ([results[0][10_000 + 2 * i + j][1] for i in range(len(probes))] for j in (0, 1))
+    assert min(np.array(right) - np.array(wrong)) > 1
