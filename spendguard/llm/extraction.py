@@ -29,6 +29,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 OPAQUE = "script|style|noscript|template|textarea|svg|math|iframe|object|select|canvas|audio|video"
 NEVER = frozenset("head nav header footer aside form button dialog menu search title".split())
 MARKS = frozenset(["article", "main"])
+WHOLE = MARKS | {"html", "body"}  # never left out for their names
 KNOWN = BLOCKS | VOID | NEVER | frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 # Words in class, id and role that name parts around the main text.
 ASIDE_WORDS = frozenset(
@@ -45,18 +46,19 @@ _TOKEN = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORD = re.compile(r"\S+")
 
 
-def _is_aside(attrs: str) -> bool:
+def _is_aside(tag: str, attrs: str) -> bool:
     if "=" not in attrs:
         return False
     if re.search(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", attrs, re.IGNORECASE):
         return True
+    if tag in WHOLE:
+        return False
     for m in _NAMES.finditer(attrs):
         value = m[1] or m[2] or m[3] or ""
-        if any(p.lower() in ASIDE_WORDS for p in _PARTS.findall(value)):
+        if any(p.lower() in ASIDE_WORDS for p in value.split()):
             return True
     return False
 
@@ -77,7 +79,7 @@ def _close_implied(stack: list, tag: str) -> None:
 def page_items(page: str):
     """(feature, words, block, text or None, dropped, marked) of every text and tag of a page, in order.
 
-    `block` numbers the blocks, `dropped` tells texts in elements that are never main text, `marked` what lies
+    `block` numbers the blocks, `dropped` tells what lies in elements that are never main text, `marked` what lies
     in an element that pages use to mark their main text.
     """
     stack: list[tuple[str, bool, bool]] = []
@@ -90,7 +92,7 @@ def page_items(page: str):
             items.append((f"in {name if name in KNOWN else '?'}", n, block, text, dropped, marked))
         elif tag is not None:
             tag = tag.lower()
-            aside = not m["close"] and _is_aside(m["attrs"])
+            aside = not m["close"] and _is_aside(tag, m["attrs"])
             label = f"{m['close']}{tag if tag in KNOWN else '?'}{' aside' if aside else ''}"
             if tag in BLOCKS:
                 block += 1
@@ -122,11 +124,8 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     best = total = 0.0
     start = begin = end = 0
     for i, (feature, words, _, text, dropped, _) in enumerate(items):
-        weight = weights.get(feature, default_weight(feature))
-        if text is not None:
-            total += 0.0 if dropped else weight * words
-        else:
-            total += weight
+        if not dropped:
+            total += weights.get(feature, default_weight(feature)) * (words if text is not None else 1)
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:

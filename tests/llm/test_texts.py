@@ -168,3 +168,12 @@ def test_every_context_has_a_restaurant(spark):
     assert results[0] == results[1]
     right, wrong = ([results[0][10_000 + 2 * i + j][1] for i in range(len(probes))] for j in (0, 1))
     assert min(np.array(right) - np.array(wrong)) > 1
+
+
+def test_names_do_not_drop_whole_pages():
+    text = "one two three four five six"
+    for page in (f"<body class='has-sidebar'><p>{text}", f"<body class='search'><p>{text}", f"<div id='page' class='no-sidebar'><p>{text}</div>", f"<article class='post comment-open'><p>{text}</article>"):
+        assert main_text(page, {}) == text
+    assert main_text(f"<div class='box Sidebar'><p>{text}</div>", {}) == ""
+    menu = "<div class='menu'>" + "<p><a>x</a></p>" * 50 + "</div>"
+    assert main_text(f"<p>{text}</p>{menu}<p>{text}", {}) == f"{text}\n{text}"
