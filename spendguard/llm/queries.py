@@ -1,6 +1,20 @@
 """Import every operator, so that its query is registered."""
 
-from spendguard.llm import extraction, jaccard, language, language_model, lattice, licenses, mixing, packing, token_counts, topk  # noqa: F401
+from spendguard.llm import (  # noqa: F401
+    centroids,
+    exact_bpe,
+    extraction,
+    importance,
+    jaccard,
+    language,
+    language_model,
+    lattice,
+    licenses,
+    mixing,
+    packing,
+    token_counts,
+    topk,
+)
 from spendguard.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
