@@ -160,10 +160,10 @@ class TextEncoder:
     """Whole texts to ids (little-endian unsigned 32-bit).
 
     The normaliser and the splitter are the tokenizer file's own, applied to each distinct stretch between white
-    space; the ids of short stretches are kept in a cache bounded by bytes.
+    space; the ids of short stretches and of their words are kept in caches bounded by bytes.
     """
 
-    def __init__(self, path: str, cache_bytes: int = 64_000_000):
+    def __init__(self, path: str, cache_bytes: int = 128_000_000):
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
@@ -172,42 +172,49 @@ class TextEncoder:
         self.byte_of = {ord(shown): b for b, shown in enumerate(_byte_characters())}
         self.special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.limit = cache_bytes
-        self.known = _Stretches(self.encode_stretch)
+        self.known = _Cache(self.encode_stretch, cache_bytes)
+        self.known_words = _Cache(self.encode_word, cache_bytes // 2)
+
+    def encode_word(self, word: str) -> bytes:
+        return array("I", self.words.encode_word(word.translate(self.byte_of).encode("latin-1"))).tobytes()
 
     def encode_stretch(self, stretch: str) -> bytes:
         if stretch.isascii() and stretch.isalpha():  # a word of its own
-            return array("I", self.words.encode_word(stretch.lower().encode())).tobytes()
-        parts = self.at_special.split(stretch) if self.at_special else [stretch]
-        ids: list[int] = []
-        for i, part in enumerate(parts):
+            return self.known_words[stretch.lower()]
+        ids = b""
+        for i, part in enumerate(self.at_special.split(stretch) if self.at_special else [stretch]):
             if i % 2:
-                ids.append(self.special[part])
+                ids += self.special[part].to_bytes(4, "little")
             elif part:
-                for word, _ in self.split(self.normalise(part)):
-                    ids += self.words.encode_word(word.translate(self.byte_of).encode("latin-1"))
-        return array("I", ids).tobytes()
+                ids += b"".join([self.known_words[word] for word, _ in self.split(self.normalise(part))])
+        return ids
 
     def __call__(self, text: str) -> bytes:
-        if self.known.size > self.limit:
-            self.known.clear()
-            self.known.size = 0
+        self.known.bound()
+        self.known_words.bound()
         stretches = _ASCII_SPACE.split(text) if _NOT_SPACE.search(text) else text.split()
         return b"".join(map(self.known.__getitem__, stretches))
 
 
-class _Stretches(dict):
-    def __init__(self, encode, longest: int = 64):
+class _Cache(dict):
+    """Ids of short strings; `bound` empties it when it takes more than about `limit` bytes."""
+
+    def __init__(self, encode, limit: int, longest: int = 64):
         super().__init__()
-        self.encode, self.longest, self.size = encode, longest, 0
+        self.encode, self.limit, self.longest, self.size = encode, limit, longest, 0
 
-    def __missing__(self, stretch: str) -> bytes:
-        ids = self.encode(stretch)
-        if len(stretch) <= self.longest:
-            self[stretch] = ids
-            self.size += 200 + 2 * len(stretch) + len(ids)
+    def __missing__(self, string: str) -> bytes:
+        ids = self.encode(string)
+        if len(string) <= self.longest:
+            self[string] = ids
+            self.size += 200 + 2 * len(string) + len(ids)
         return ids
 
+    def bound(self) -> None:
+        if self.size > self.limit:
+            self.clear()
+            self.size = 0
+
 
 def slices(column: pa.Array, max_bytes: int) -> Iterator[pa.Array]:
     """Consecutive parts of a string or binary column of about `max_bytes` each; a longer value is a part of its own."""
