@@ -35,31 +35,34 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-def _shrink(cache: dict, limit: int) -> None:
-    """Keep a full cache's short segments, which come back most often."""
-    if len(cache) > limit:
-        kept = {k: v for k, v in cache.items() if len(k) <= 8}
-        cache.clear()
-        if len(kept) < limit // 2:
-            cache.update(kept)
+class _Cache(dict):
+    """What is known of segments; `bound` empties it when it takes more than about `limit` bytes."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.size = limit, 0
+
+    def bound(self) -> None:
+        if self.size > self.limit:
+            self.clear()
+            self.size = 0
 
 
 class SegmentLengths:
     """Numbers of token ids, by the tokenizer library alone; unseen segments are encoded in batches."""
 
-    def __init__(self, path: str, cache_entries: int = 1_000_000):
+    def __init__(self, path: str, cache_bytes: int = 128_000_000):
         self.tokenizer = _tokenizer(path)
-        self.limit = cache_entries
-        self.first: dict[str, int] = {}
-        self.later: dict[str, int] = {}
+        self.first, self.later = _Cache(cache_bytes // 2), _Cache(cache_bytes)
 
-    def _learn(self, cache: dict, keys: set, prefix: str) -> None:
-        _shrink(cache, self.limit)
+    def _learn(self, cache: _Cache, keys: set, prefix: str) -> None:
+        cache.bound()
         new = list(keys.difference(cache))
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             found = self.tokenizer.encode_batch_fast([prefix + key for key in part], add_special_tokens=False)
             cache.update(zip(part, map(len, found)))
+            cache.size += sum(map(len, part)) + 150 * len(part)
 
     def __call__(self, texts: list[str]) -> list[int]:
         cut = [_segments(t) for t in texts]
@@ -67,20 +70,19 @@ class SegmentLengths:
         keys: set[str] = set()
         for s in cut:
             keys.update(s[1:])
-        if len(keys) + len(self.later) > self.limit:
-            _shrink(self.later, len(self.later) - 1)
         self._learn(self.later, keys, " ")
         later = self.later.__getitem__
         return [self.first[s[0]] + sum(map(later, s[1:])) for s in cut]
 
 
-class _Ids(dict):
-    def __init__(self, encode, prefix: str):
-        super().__init__()
+class _Ids(_Cache):
+    def __init__(self, encode, prefix: str, limit: int):
+        super().__init__(limit)
         self.encode, self.prefix = encode, prefix
 
     def __missing__(self, key: str) -> bytes:
         ids = self[key] = self.encode(self.prefix + key)
+        self.size += 200 + len(key) + len(ids)
         return ids
 
 
@@ -91,7 +93,7 @@ class SegmentIds:
     library on short strings; segments with other characters or special strings by the library itself.
     """
 
-    def __init__(self, path: str, ranks: str, cache_entries: int = 300_000):
+    def __init__(self, path: str, ranks: str, cache_bytes: int = 96_000_000):
         import base64
 
         import public_tokenizers
@@ -104,9 +106,8 @@ class SegmentIds:
         self.fast = tiktoken.Encoding(
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}
         )
-        self.limit = cache_entries
-        self.first = _Ids(self._encode, "")
-        self.later = _Ids(self._encode, " ")
+        self.first = _Ids(self._encode, "", cache_bytes // 4)
+        self.later = _Ids(self._encode, " ", cache_bytes)
 
     def _encode(self, segment: str) -> bytes:
         if _PLAIN.fullmatch(segment) and not any(s in segment for s in self.special):
@@ -119,18 +120,6 @@ class SegmentIds:
         cut = _segments(text)
         if len(cut) == 1:  # long texts without spaces are not worth keeping
             return self._encode(text)
-        _shrink(self.later, self.limit)
-        _shrink(self.first, self.limit)
+        self.later.bound()
+        self.first.bound()
         return self.first[cut[0]] + b"".join(map(self.later.__getitem__, cut[1:]))
-
-
-def balanced(texts: list[str], max_chars: int):
-    """Slices of `texts` of about `max_chars` characters each; a longer text is a slice of its own."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > max_chars:
-            yield start, i
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)

@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendguard.llm.memory import slices, tidy
 from spendguard.llm.registry import query, table
 
 # Python splits at these four control characters; the vocabulary's splitter does not count them as white space.
@@ -216,17 +217,6 @@ class _Cache(dict):
             self.size = 0
 
 
-def slices(column: pa.Array, max_bytes: int) -> Iterator[pa.Array]:
-    """Consecutive parts of a string or binary column of about `max_bytes` each; a longer value is a part of its own."""
-    ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < len(column):
-        base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, "right")))
-        yield column.slice(start, stop - start)
-        start = stop
-
-
 def _mapped(df: DataFrame, id_col: str, source, out: str, convert, max_bytes: int) -> DataFrame:
     """(id, converted values): one Arrow batch for each slice of the column."""
 
@@ -241,7 +231,7 @@ def _mapped(df: DataFrame, id_col: str, source, out: str, convert, max_bytes: in
     slim = df.select(F.col(id_col).alias("_id"), source.alias("_in"))
     names = ["_id", *[part.split()[0] for part in out.split(", ")]]
     kind = slim.schema["_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"_id {kind}, {out}").withColumnRenamed("_id", id_col)
+    return slim.mapInArrow(tidy(run), f"_id {kind}, {out}").withColumnRenamed("_id", id_col)
 
 
 def encode_texts(

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendguard.llm.exact_bpe import slices
+from spendguard.llm.memory import slices, tidy
 from spendguard.llm.registry import query, table
 from spendguard.operators.rank import distributed_rank
 from spendguard.scratch import materialise
@@ -150,7 +150,7 @@ def bucket_counts(
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "_n"])
 
     texts = docs.select(F.col(text_col).cast("string").alias("_text")).where("_text is not null")
-    return texts.mapInArrow(count, "bucket long, _n long").groupBy("bucket").agg(F.sum("_n").alias(name))
+    return texts.mapInArrow(tidy(count), "bucket long, _n long").groupBy("bucket").agg(F.sum("_n").alias(name))
 
 
 def bucket_gains(docs: DataFrame, target: DataFrame, buckets: int = 10_000, width: int = 3) -> np.ndarray:
@@ -188,7 +188,7 @@ def weigh(
 
     names = ["_id", "n_words", "n_features", "weight"]
     slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    out = slim.mapInArrow(weights, f"_id {kind}, n_words long, n_features long, weight long")
+    out = slim.mapInArrow(tidy(weights), f"_id {kind}, n_words long, n_features long, weight long")
     return out.withColumnRenamed("_id", id_col)
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from spendguard.llm.graph import components
 from spendguard.llm.language import text_chunks
+from spendguard.llm.memory import tidy
 from spendguard.llm.registry import query, table
 from spendguard.scratch import materialise
 
@@ -148,7 +149,7 @@ def _sketches(texts: DataFrame, width: int) -> DataFrame:
         )
 
     return texts.mapInArrow(
-        sketch, "_id long, n_shingles long, _da long, _db long, _keys array<long>, _slice int, _counts binary"
+        tidy(sketch), "_id long, n_shingles long, _da long, _db long, _keys array<long>, _slice int, _counts binary"
     )
 
 
@@ -194,7 +195,7 @@ def _prefixes(texts: DataFrame, width: int, frequencies: np.ndarray, numerator:
                     ["_id", "_prefix"],
                 )
 
-    return texts.mapInArrow(prefix, "_id long, _prefix array<long>")
+    return texts.mapInArrow(tidy(prefix), "_id long, _prefix array<long>")
 
 
 def _marks(ids: DataFrame) -> np.ndarray:
@@ -226,7 +227,7 @@ def _sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
     bit = F.pmod(F.xxhash64("_id"), F.lit(1 << FILTER_BITS))
     named = texts.where("_id is not null").select("_id", "_text", bit.alias("_bit"))
-    return named.mapInArrow(whole, "_id long, _set binary").dropDuplicates(["_id"])
+    return named.mapInArrow(tidy(whole), "_id long, _set binary").dropDuplicates(["_id"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
@@ -245,7 +246,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, numerator: int, de
     side = {c: _sets(texts, pairs.select(F.col(c).alias("_id")), width) for c in ("a", "b")}
     first = pairs.select("a", "b").join(side["a"].select(F.col("_id").alias("a"), F.col("_set").alias("_x")), "a")
     second = first.join(side["b"].select(F.col("_id").alias("b"), F.col("_set").alias("_y")), "b")
-    return second.select("a", "b", "_x", "_y").mapInArrow(check, "a long, b long")
+    return second.select("a", "b", "_x", "_y").mapInArrow(tidy(check), "a long, b long")
 
 
 def _comparable(x: str, y: str, numerator: int, denominator: int):

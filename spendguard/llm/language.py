@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendguard.llm.memory import tidy
 from spendguard.llm.registry import query, table
 
 BITS = 18
@@ -101,7 +102,7 @@ def _model_counts(docs: DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"lang": group["lang"].iloc[:1], "slice": group["slice"].iloc[:1], "counts": [total.tobytes()]})
 
     schema = "lang string, slice int, counts binary"
-    parts = docs.select("lang", "text").mapInArrow(count, schema)
+    parts = docs.select("lang", "text").mapInArrow(tidy(count), schema)
     return parts.groupBy("lang", "slice").applyInPandas(add, schema).toPandas()
 
 
@@ -231,7 +232,7 @@ def identify(
     )
     names_out = ["_id", *[inner[c] for c in carry if c != id_col]]
     schema = ", ".join(f"{n} {slim.schema[n].dataType.simpleString()}" for n in names_out)
-    out = slim.mapInArrow(predict, schema + ", lang_pred string, score double")
+    out = slim.mapInArrow(tidy(predict), schema + ", lang_pred string, score double")
     return out.select(
         F.col("_id").alias(id_col), *[F.col(inner[c]).alias(c) for c in carry if c != id_col], "lang_pred", "score"
     )

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendguard.llm.bpe import SegmentIds
+from spendguard.llm.memory import slices, tidy
 from spendguard.llm.registry import query, table
 from spendguard.scratch import materialise
 
@@ -43,7 +44,8 @@ def cut_pieces(
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             rows, pieces, starts, lengths, ids, size = [], [], [], [], [], 0
-            for row, text in enumerate(batch.column(1).to_pylist()):
+            texts = (text for part in slices(batch.column(1), 2_000_000) for text in part.to_pylist())
+            for row, text in enumerate(texts):
                 data = encode(text) + end
                 n = len(data) // 4
                 at, first = 0, n % capacity or capacity
@@ -66,7 +68,7 @@ def cut_pieces(
         F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")
     )
     kind = slim.schema["_id"].dataType.simpleString()
-    out = slim.mapInArrow(cut, f"_id {kind}, piece int, start long, length long, ids binary")
+    out = slim.mapInArrow(tidy(cut), f"_id {kind}, piece int, start long, length long, ids binary")
     return out.withColumnRenamed("_id", id_col)
 
 
@@ -194,7 +196,7 @@ def _pack_once(rows, capacity, length_col, tasks, number, release_room) -> DataF
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.repartition(tasks).mapInArrow(
-        packed, schema + ", sequence_id long, offset long, certified boolean, released boolean"
+        tidy(packed), schema + ", sequence_id long, offset long, certified boolean, released boolean"
     )
 
 

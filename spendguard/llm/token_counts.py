@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendguard.llm.bpe import SegmentLengths, balanced
+from spendguard.llm.bpe import SegmentLengths
+from spendguard.llm.memory import slices, tidy
 from spendguard.llm.registry import query, table
 
 
@@ -18,11 +19,11 @@ def count_tokens(
     id_col: str = "doc_id",
     text_col: str = "text",
     limit: int = 512,
-    batch_chars: int = 2_000_000,
+    batch_bytes: int = 2_000_000,
 ) -> DataFrame:
     """`id_col`, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) for every row of `docs`.
 
-    Arrow batches are cut into slices balanced by characters; long texts are cut at safe boundaries, so no
+    Arrow batches are cut into slices balanced by bytes; long texts are cut at safe boundaries, so no
     text is ever truncated. Only the lengths leave the workers. A null text counts as empty (0 tokens);
     repeated rows are counted each; other columns are ignored, whatever their names.
     """
@@ -30,10 +31,9 @@ def count_tokens(
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = SegmentLengths(tokenizer)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             counts: list[int] = []
-            for start, end in balanced(texts, batch_chars):
-                counts += count(texts[start:end])
+            for part in slices(batch.column(1), batch_bytes):
+                counts += count(part.to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(counts, pa.int64())], ["_id", "n_bytes", "n_tokens"]
             )
@@ -43,7 +43,7 @@ def count_tokens(
         F.col(id_col).alias("_id"), text.alias("_text"), F.octet_length(text).cast("long").alias("n_bytes")
     )
     kind = slim.schema["_id"].dataType.simpleString()
-    counted = slim.mapInArrow(lengths, f"_id {kind}, n_bytes long, n_tokens long")
+    counted = slim.mapInArrow(tidy(lengths), f"_id {kind}, n_bytes long, n_tokens long")
     return counted.select(
         F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )

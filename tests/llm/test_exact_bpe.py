@@ -11,7 +11,8 @@ import pytest
 from conftest import SF_DIR
 from tokenizers import Tokenizer
 
-from spendguard.llm.exact_bpe import TextEncoder, decode_ids, encode_texts, slices
+from spendguard.llm.exact_bpe import TextEncoder, decode_ids, encode_texts
+from spendguard.llm.memory import slices
 from spendguard.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("word_bpe_49k.json")

@@ -12,7 +12,7 @@ from conftest import SF_DIR
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spendguard.llm.bpe import SegmentIds, SegmentLengths, balanced
+from spendguard.llm.bpe import SegmentIds, SegmentLengths
 from spendguard.llm.packing import best_fit, cut_pieces, lower_bound, pack, packed_digests, sequences
 from spendguard.llm.token_counts import count_tokens
 
@@ -34,10 +34,10 @@ def test_segments_give_the_ids_of_whole_texts(library):
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
     texts += pq.read_table(f"{SF_DIR}/documents.parquet")["text"].to_pylist()
     want = [whole(library, t) for t in texts]
-    ids = SegmentIds(JSON, RANKS, cache_entries=500)
+    ids = SegmentIds(JSON, RANKS, cache_bytes=60_000)
     assert [ids(t) for t in texts] == [array("I", w).tobytes() for w in want]
-    count = SegmentLengths(JSON, cache_entries=500)
-    assert [n for a, b in balanced(texts, 1000) for n in count(texts[a:b])] == [len(w) for w in want]
+    count = SegmentLengths(JSON, cache_bytes=60_000)
+    assert [n for at in range(0, len(texts), 7) for n in count(texts[at : at + 7])] == [len(w) for w in want]
 
 
 def test_counts(odd_docs, no_docs, library):
