@@ -7,7 +7,7 @@ repeats one stage at most.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendguard.llm.jaccard import similar_documents
@@ -18,40 +18,49 @@ from spendguard.scratch import materialise
 from spendguard.session import ship_package
 
 
+def row_key() -> Column:
+    """Identity of a document: its id and its text, so rows without an id or with a repeated one stay apart."""
+    return F.xxhash64("doc_id", "text")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; texts that are null or have no letter (`und`) go.
 
-    The languages are learned from the labels that the documents carry.
+    The languages are learned from the labels that the documents carry; without any label, a letter is enough.
     """
     ship_package(spark)
+    model = fit_languages(docs)
+    if not model[0]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     others = F.struct(*[c for c in docs.columns if c != "text"]).alias("_row")
-    found = identify(docs.select("doc_id", "text", others), fit_languages(docs), carry=["_row", "text"])
+    found = identify(docs.select("doc_id", "text", others), model, carry=["_row", "text"])
     return found.where("lang_pred <> 'und'").select("_row.*", "text").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of texts linked by five-word Jaccard similarity 0.8: the smallest id.
+    """One document of every group of texts linked by five-word Jaccard similarity 0.8: the smallest id, named ones first.
 
-    Of rows with one id, one stays; of rows without an id, one for each text.
+    Rows that share an id but not a text are different documents; texts without a word are linked with nothing.
     """
     ship_package(spark)
-    groups = similar_documents(docs, width=5, numerator=80)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.dropDuplicates(["doc_id"]).join(first, "doc_id", "left_semi")
-    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)
+    keyed = docs.withColumn("_key", row_key())
+    groups = similar_documents(keyed.select("_key", "text"), width=5, numerator=80, id_col="_key")
+    members = groups.select("_key", "component_id").join(keyed.select("_key", "doc_id"), "_key")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key")
+    first = members.groupBy("component_id").agg(F.min(order)["_key"].alias("_key")).select("_key")
+    return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
     ship_package(spark)
-    key = F.coalesce("doc_id", F.xxhash64("text"))
-    taken = mix(docs.withColumn("doc_id", key))
-    copies = taken.where("taken > 0").groupBy("doc_id").agg(F.sum(F.expr("taken div size")).cast("int").alias("_copies"))
-    rows = docs.withColumn("_key", key).dropDuplicates(["_key"])
-    repeated = rows.join(copies.withColumnRenamed("doc_id", "_key"), "_key").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), "_copies"))
+    keyed = docs.withColumn("_key", row_key())
+    taken = mix(keyed.withColumn("doc_id", F.col("_key")).drop("_key"))
+    copies = taken.where("taken > 0").groupBy(F.col("doc_id").alias("_key")).agg(
+        F.sum(F.expr("taken div size")).cast("int").alias("_copies")
     )
-    return repeated.select(*docs.columns)
+    repeated = keyed.dropDuplicates(["_key"]).join(copies, "_key")
+    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
