@@ -15,7 +15,6 @@ alike, to score its words.
 
 from __future__ import annotations
 
-import ctypes
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
@@ -28,6 +27,7 @@ from pyspark.sql import functions as F
 
 from spendguard.llm.jaccard import scramble, word_hashes
 from spendguard.llm.language import held_out, text_chunks
+from spendguard.llm.memory import give_back
 from spendguard.llm.registry import query, table
 from spendguard.scratch import keep, materialise, scope, session_conf, tasks
 
@@ -85,14 +85,7 @@ def _each(batch: pa.RecordBatch) -> Iterator[dict]:
     """Rows one by one: a row can be large."""
     for i in range(batch.num_rows):
         yield batch.slice(i, 1).to_pylist()[0]
-        _give_back()
-
-
-def _give_back() -> None:
-    """Let the C library return freed memory, which a reused worker would keep through later stages."""
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+        give_back()
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,7 +181,7 @@ def _block_rows(texts: DataFrame, model: Model, kind: str) -> DataFrame:
                     lists = [pa.array([x[i] if x else None for x in columns[-1]], t) for i, t in enumerate((pa.list_(ids_all.type), pa.list_(pa.bool_()), pa.list_(pa.int64())))]
                     yield pa.RecordBatch.from_arrays([*arrays, *lists], [*schema.names, *_LISTS])
                     block += 1
-            _give_back()
+            give_back()
 
     return texts.mapInArrow(
         run, f"block long, bucket int, {_ROW}, ids array<{kind}>, held array<boolean>, n_tokens array<long>"
@@ -240,23 +233,26 @@ def _merge(rows: DataFrame, kind: str) -> DataFrame:
     go through."""
 
     def one(bucket: int, parts: list[dict]) -> tuple:
-        w = np.concatenate([np.repeat(_sorted(p["words"]), _numbers(p["word_pairs"])) for p in parts])
-        held = [_numbers(p["ks"]).view(np.uint64) for p in parts]
-        ks, counts = np.concatenate(held), np.concatenate([_numbers(p["counts"]) for p in parts])
-        order = np.lexsort((ks, w))
+        sizes = np.array([_numbers(p["word_pairs"]).sum() for p in parts], np.int64)
+        ends = np.cumsum(sizes)
+        w, ks, counts = np.empty(ends[-1], np.uint64), np.empty(ends[-1], np.uint64), np.empty(ends[-1], np.uint32)
+        for p, n, end in zip(parts, sizes, ends):  # a block's blobs go once they are read
+            w[end - n : end] = np.repeat(_sorted(p.pop("words")), _numbers(p.pop("word_pairs")))
+            ks[end - n : end] = _numbers(p.pop("ks")).view(np.uint64)
+            counts[end - n : end] = _numbers(p.pop("counts"))
+        order = np.lexsort((ks, w)).astype(np.uint32)
+        w, ks = w[order], ks[order]
         new = np.ones(len(w), bool)
-        sw, sk = w[order], ks[order]
-        new[1:] = (sw[1:] != sw[:-1]) | (sk[1:] != sk[:-1])
-        pair = np.cumsum(new) - 1
+        new[1:] = (w[1:] != w[:-1]) | (ks[1:] != ks[:-1])
         at = np.flatnonzero(new)
+        pair = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
         total = np.bincount(pair, counts[order])
         places = np.empty(len(order), np.int64)
         places[order] = pair
-        sizes = np.array([len(h) for h in held])
-        ends = np.cumsum(sizes)
+        del order, pair, counts, new
         places = np.concatenate([np.diff(places[e - n : e], prepend=0) for n, e in zip(sizes, ends)])  # ascending in a block
-        merged, n_pairs = np.unique(sw[at], return_counts=True)
-        contexts, at_context = np.unique(sk[at], return_inverse=True)
+        merged, n_pairs = np.unique(w[at], return_counts=True)
+        contexts, at_context = np.unique(ks[at], return_inverse=True)
         blocks = np.array([p["block"] for p in parts])
         steps = (np.diff(a, prepend=np.uint64(0)) for a in (merged, contexts))
         blobs = (blocks, sizes, places, *steps, n_pairs, at_context, total)
@@ -491,12 +487,11 @@ def _round(merged: DataFrame, told: list[DataFrame], model: Model, kept: int) ->
             return pa.RecordBatch.from_arrays(arrays, ["bucket", "shard", "values"])
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 if waiting and waiting[0]["shard"] != row["shard"]:
                     yield sent()
                     waiting.clear()
                 waiting.append(row)
-            _give_back()
         if waiting:
             yield sent()
 
@@ -536,7 +531,7 @@ def score_texts(
     held: F.Column | None = None,
     contexts: int | None = None,
     samples: int = 3,
-    tokens_per_bucket: int = 1_500_000,
+    tokens_per_bucket: int = 1_000_000,
     seed: int = 17,
     id_col: str = "doc_id",
     text_col: str = "text",

@@ -177,3 +177,18 @@ def test_names_do_not_drop_whole_pages():
     assert main_text(f"<div class='box Sidebar'><p>{text}</div>", {}) == ""
     menu = "<div class='menu'>" + "<p><a>x</a></p>" * 50 + "</div>"
     assert main_text(f"<p>{text}</p>{menu}<p>{text}", {}) == f"{text}\n{text}"
+
+
+def test_pipeline_keeps_different_texts_of_one_id(spark):
+    import corpus_pipeline as pipeline
+
+    one, two = (" ".join(f"{w}{i}" for i in range(40)) for w in ("red", "blue"))
+    rows = [(1, one), (1, two), (None, one), (2, two + " more"), (3, ""), (3, None), (None, "third text of its own")]
+    docs = spark.createDataFrame([(i, t, None, None) for i, t in rows], "doc_id long, text string, lang string, source string")
+    single = pipeline.near_duplicates(spark, docs, SF_DIR).collect()
+    assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in single)) == sorted(
+        [(1, one), (1, two), (3, ""), (3, ""), (0, "third text of its own")]
+    )
+    assert pipeline.language_id(spark, docs, SF_DIR).count() == 5
+    mixed = pipeline.mixing(spark, docs, SF_DIR)
+    assert {r["text"] for r in mixed.collect()} <= {t for _, t in rows} and mixed.columns == docs.columns
