@@ -43,7 +43,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that share an id but not a text are different documents; texts without a word are linked with nothing.
     """
     ship_package(spark)
-    keyed = docs.withColumn("_key", row_key())
+    # The key is the id, so that the groups start from the oldest document; further texts of an id get a negative one.
+    digest = F.xxhash64("text")
+    texts = docs.groupBy("doc_id").agg(F.min(digest).alias("_first"), F.max(digest).alias("_last"))
+    reused = materialise(texts.where("doc_id is not null and _first <> _last").drop("_last"), "reused_ids")
+    own = F.col("doc_id").isNotNull() & (F.col("_first").isNull() | (F.col("_first") == digest))
+    other = row_key().bitwiseOR(F.lit(-(1 << 63)))
+    keyed = docs.join(reused, "doc_id", "left").withColumn("_key", F.when(own, F.col("doc_id")).otherwise(other))
     groups = similar_documents(keyed.select("_key", "text"), width=5, numerator=80, id_col="_key")
     members = groups.select("_key", "component_id").join(keyed.select("_key", "doc_id"), "_key")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key")
