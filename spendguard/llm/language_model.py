@@ -1,7 +1,7 @@
 """Scoring texts with a hierarchical Pitman-Yor language model (Teh 2006).
 
 One restaurant per context, all sharing the root restaurant as parent; the root's base is uniform over the
-known types and one unknown type. A context is the word before, by its 64-bit hash, and every one has a restaurant.
+known types and one unknown type. A context is the word before, by 48 bits of its hash, and every one has a restaurant.
 Tables are seated by Gibbs sampling, and predictive probabilities are averaged over the samples.
 
 Work is split by word. Each task turns its texts into blocks of (word, context) counts; the counts are shuffled to
@@ -34,7 +34,8 @@ from spendguard.scratch import keep, materialise, scope, session_conf, tasks
 END = np.uint64(0x5851F42D4C957F2D)
 CHUNK_BYTES = 2_000_000
 HASH_BYTES = 1_000_000
-UNIT = 2.0**-34  # of the scores that buckets send
+CONTEXT = np.uint64((1 << 48) - 1)  # restaurants go by the lower 48 bits of the previous word's hash
+UNIT = 2.0**-28  # of the scores that buckets send
 SENT_WORDS = 500_000
 #: Shuffle files go as soon as their job has written its table.
 TIDY = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
@@ -85,7 +86,9 @@ def _each(batch: pa.RecordBatch) -> Iterator[dict]:
     """Rows one by one: a row can be large."""
     for i in range(batch.num_rows):
         yield batch.slice(i, 1).to_pylist()[0]
-        give_back()
+        if i % 16 == 15:
+            give_back()
+    give_back()
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,6 +199,7 @@ def _bucket_rows(w, k, row, held, model: Model, block: int, lists: tuple) -> lis
     """The (word, context) counts of one block, one tuple per bucket, and the documents of all its pairs in the
     order of buckets, words and contexts."""
     bucket = model.bucket_of(w, k)
+    k = k & CONTEXT
     order = np.lexsort((row, k, w, bucket))
     w, k, row, bucket = w[order], k[order], row[order], bucket[order]
     new_word = np.ones(len(w), bool)
@@ -531,7 +535,7 @@ def score_texts(
     held: F.Column | None = None,
     contexts: int | None = None,
     samples: int = 3,
-    tokens_per_bucket: int = 1_000_000,
+    tokens_per_bucket: int = 1_300_000,
     seed: int = 17,
     id_col: str = "doc_id",
     text_col: str = "text",
