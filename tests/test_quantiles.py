@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spendguard.operators import quantiles
 from spendguard.operators.quantiles import exact_quantiles
 from spendguard.operators.rank import distributed_rank
 from spendguard.operators.sampling import sample_per_category
@@ -18,14 +19,14 @@ def numbers(spark, n):
     )
 
 
-@pytest.mark.parametrize("n", [300, 60_000])
-def test_quantiles_equal_numpy(spark, n):
+@pytest.mark.parametrize(("n", "band_rows"), [(300, 50_000), (60_000, 50_000), (60_000, 20)])
+def test_quantiles_equal_numpy(spark, n, band_rows):
     from spendguard.scratch import materialise
 
     df = materialise(numbers(spark, n), "numbers")
     probs = [0.0, 0.001, 0.25, 0.5, 0.9, 0.999, 1.0]
     pdf = df.toPandas()
-    found = {(r.category_key, r.p): r.quantile for r in exact_quantiles(df, ["category_key"], "v", probs).collect()}
+    found = {(r.category_key, r.p): r.quantile for r in exact_quantiles(df, ["category_key"], "v", probs, band_rows=band_rows).collect()}
     for key, part in pdf.groupby("category_key"):
         for p in probs:
             assert found[(key, p)] == pytest.approx(np.quantile(part.v, p), rel=1e-12)
@@ -37,6 +38,49 @@ def test_probability_per_group_and_nulls(spark):
     assert sorted((r.k, r.quantile) for r in exact_quantiles(df, ["k"], "v", per_group=per).collect()) == [("a", 2.0), ("b", 2.5)]
 
 
+def test_tasks_rank_bounded_bands(spark, monkeypatch):
+    """No (group, probability) has more distinct values in its window than the band allows."""
+    from spendguard.scratch import materialise
+
+    df = materialise(numbers(spark, 60_000), "numbers")
+    most = []
+    inner = quantiles._in_band
+
+    def watched(rows, bands, keys):
+        out = inner(rows, bands, keys)
+        most.append(out.groupBy(*keys, "p").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(quantiles, "_in_band", watched)
+    for limit in (100, 10):
+        most.clear()
+        exact_quantiles(df, ["category_key"], "v", [0.0, 0.1, 0.5, 0.77, 1.0], band_rows=limit).collect()
+        assert max(most) <= 2 * limit + 3
+
+
+def test_wrong_sketches_are_put_right(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id % 2 as k", "cast(id as double) as v")
+    right = quantiles._grid
+    calls = []
+
+    def wrong(shares):
+        calls.append(1)
+        return F.expr(f"array_repeat(max(_v), {len(shares)})") if len(calls) == 1 else right(shares)
+
+    monkeypatch.setattr(quantiles, "_grid", wrong)
+    for limit in (50_000, 5):
+        calls.clear()
+        got = {(r.k, r.p): r.quantile for r in exact_quantiles(df, ["k"], "v", [0.25, 0.5], band_rows=limit).collect()}
+        assert got == {(k, p): np.quantile(np.arange(k, 3000, 2.0), p) for k in (0, 1) for p in (0.25, 0.5)}
+
+
+def test_without_keys_and_infinite_values(spark):
+    df = spark.createDataFrame([(float("inf"),), (-float("inf"),), (1.0,), (2.0,), (float("inf"),)], "v double")
+    got = {r.p: r.quantile for r in exact_quantiles(df, [], "v", [0.0, 0.25, 0.5, 0.75, 1.0]).collect()}
+    assert got == {0.0: -float("inf"), 0.25: 1.0, 0.5: 2.0, 0.75: float("inf"), 1.0: float("inf")}
+    assert exact_quantiles(df.where("false"), [], "v", [0.5]).collect() == []
+
+
 def test_rank_over_partitions(spark):
     df = numbers(spark, 5000).repartition(7)
     order = [F.col("v").desc(), F.col("record_id").asc()]
