@@ -245,7 +245,7 @@ _FLAT = Space(numeric=("valor_adjusted", "mean_value"), buckets=(), sizes=(), na
 )
 def gaussian_log_density(spark, sf_dir):
     """A mixture with one component has a closed form, so fit and score can be compared."""
-    params = PARAMS.with_(gmm_max_components=1, gmm_bic_sample=1000)
+    params = PARAMS.with_(gmm_max_components=1)
     points = order_points(spark, sf_dir).select("record_id", "category_key", "split", *_FLAT.z)
     train = points.where("split = 'train'")
     empty = points.select("category_key").distinct().selectExpr(
@@ -273,9 +273,8 @@ def isolation_forest(spark, sf_dir):
 @query("gaussian_mixture")
 def gaussian_mixture(spark, sf_dir):
     train, new = _split_points(spark, sf_dir)
-    params = PARAMS.with_(gmm_max_components=3)
-    model = fit_gmm(train, fit_buckets(train_of(order_features(spark, sf_dir)), SPACE), params, SPACE)
-    return score_gmm(new, model, params, SPACE)
+    model = fit_gmm(train, fit_buckets(train_of(order_features(spark, sf_dir)), SPACE), PARAMS, SPACE)
+    return score_gmm(new, model, PARAMS, SPACE)
 
 
 @query("one_class_svm")
@@ -284,7 +283,7 @@ def one_class_svm(spark, sf_dir):
     return score_ocsvm(new, fit_ocsvm(train, PARAMS, SPACE), PARAMS, SPACE)
 
 
-_FULL = PARAMS.with_(include_sod=True, gmm_max_components=3)
+_FULL = PARAMS.with_(include_sod=True)
 _RUNS: dict[tuple, object] = {}
 
 

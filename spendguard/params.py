@@ -32,7 +32,6 @@ class Params:
     knn_k_candidates: tuple[int, ...] = (3, 5, 10, 15)
     lof_k_candidates: tuple[int, ...] = (3, 5, 10, 15)
     gmm_max_components: int = 8
-    gmm_bic_sample: int = 5000
     gmm_reg_covar: float = 1e-4
     gmm_max_iter: int = 100
     ocsvm_nu: float = 0.1

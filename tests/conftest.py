@@ -1,6 +1,9 @@
+import os
 import sys
 from pathlib import Path
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # the driver shares its cores with the local executor
+
 import pytest
 from pyspark.sql import SparkSession
 

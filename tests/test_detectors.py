@@ -8,8 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from spendguard.detectors import neighbors
-from spendguard.detectors.gmm import Mixture, fit_gmm, fit_sample, score_gmm
+from spendguard.detectors import gmm, neighbors
+from spendguard.detectors.gmm import Layout, Mixture, cluster_weighted, fit_gmm, fit_mixtures, log_sum, score_gmm
 from spendguard.detectors.grouped import map_with_model
 from spendguard.detectors.iforest import average_path, fit_iforest, score_iforest
 from spendguard.detectors.lof import lof_reference
@@ -192,22 +192,84 @@ def test_mixture(data, spark):
     model = fit_gmm(points, buckets, PARAMS, SPACE)
     scored, found = top_decile(score_gmm(points, model, PARAMS, SPACE), pdf)
     assert found and np.isfinite(scored.score).all()
-    # The same data through the distributed steps: the sample is smaller than the category.
-    stepped = fit_gmm(points, buckets, PARAMS.with_(gmm_bic_sample=400, gmm_max_components=1), SPACE)
-    exact = fit_gmm(points, buckets, PARAMS.with_(gmm_max_components=1), SPACE)
-    a, b = (m.orderBy("category_key").toPandas() for m in (stepped, exact))
-    for c in ("means", "covariances"):
-        for u, v in zip(a[c], b[c]):
-            assert np.allclose(u, v, atol=1e-8)
-
-
-def test_em_finds_separate_groups():
+    sizes = fit_mixtures(points, buckets, PARAMS, SPACE).toPandas()
+    assert sorted(zip(sizes.category_key, sizes.n_components)) == [(c, k) for c in ("BIG", "SMALL") for k in (1, 2, 3)]
+    for key, part in sizes.groupby("category_key"):
+        _, x = dense(pdf, key)
+        d = x.shape[1]
+        free = {k: k - 1 + k * d + k * d * (d + 1) // 2 for k in (1, 2, 3)}
+        for row in part.to_dict("records"):
+            k = row["n_components"]
+            mean = log_sum(dense_log_parts(Mixture.from_row(row), x)).mean()
+            assert row["n_rows"] == len(x) and row["log_likelihood"] == pytest.approx(mean, abs=1e-7)
+            assert row["bic"] == pytest.approx(-2 * mean * len(x) + free[k] * np.log(len(x)), rel=1e-9)
+        best = part.sort_values(["bic", "n_components"]).n_components.iloc[0]
+        assert model.where(F.col("category_key") == key).first()["n_components"] == best > 1
+
+
+def dense_log_parts(mixture, x):
+    """Log of weight × density from whole matrices."""
+    out = []
+    for w, mean, cov in zip(mixture.weights, mixture.means, mixture.covariances):
+        y = np.linalg.solve(np.linalg.cholesky(cov), (x - mean).T)
+        out.append(np.log(w) - 0.5 * (len(mean) * np.log(2 * np.pi) + (y * y).sum(0) + np.linalg.slogdet(cov)[1]))
+    return np.stack(out, axis=1)
+
+
+def test_look_ups_equal_dense_matrices(data, spark):
+    """Densities and moments by bucket against the explicit one-hot columns."""
+    pdf, _, points, buckets = data
+    shares = shares_by_category(buckets, SPACE).toPandas().set_index("category_key")
+    for key in ("BIG", "SMALL"):
+        ids, x = dense(pdf, key)
+        rows = points.where(F.col("category_key") == key).toPandas().set_index("record_id").loc[ids]
+        place = Layout(SPACE, [np.asarray(shares.loc[key, f"share_{b}"], float) for b in SPACE.buckets])
+        z, codes = place.read(rows[SPACE.point].to_numpy(float))
+        r = np.random.default_rng(4).random((len(x), 2))
+        moments = [place.unfold(place.moments(z, codes, r[:, j])) for j in range(2)]
+        for j, (n, first, second) in enumerate(moments):
+            assert n == pytest.approx(r[:, j].sum()) and np.allclose(first, r[:, j] @ x, atol=1e-7)
+            assert np.allclose(second, (x * r[:, j : j + 1]).T @ x, atol=1e-6)
+        count, first, second = (np.array(v) for v in zip(*moments))
+        mixture = Mixture.from_moments(count, first, second, count.sum(), 1e-4)
+        want = dense_log_parts(mixture, x)
+        assert np.allclose(mixture.prepared(place).log_parts(z, codes), want, atol=1e-6)
+        centres = Mixture(np.ones(2), x[:2], None).prepared(place)
+        nearest_centre = ((x[:, None] - x[None, :2]) ** 2).sum(-1).argmin(1)
+        assert (centres.shares(z, codes)[1].argmax(1) == nearest_centre).mean() > 0.99
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_em_equals_dense_em(data, spark, monkeypatch, limit):
+    """The same steps on whole matrices, with the models sent around or met by chunks."""
+    if limit is not None:
+        monkeypatch.setattr(gmm, "map_with_model", lambda *a, **k: map_with_model(*a, **k, bytes_limit=limit, chunk_rows=300))
+    pdf, _, points, buckets = data
+    shares = materialise(shares_by_category(buckets, SPACE), "shares")
+    params = PARAMS.with_(gmm_max_components=2)
+    model = materialise(gmm._starts(points, shares, params, SPACE), "starts")
+    centres = {(r["category_key"], r["n_components"]): np.array(r["means"]).reshape(r["n_components"], -1) for r in model.collect()}
+    for _ in range(4):
+        model = materialise(gmm.em_step(points, model, shares, params, SPACE), "step")
+    for row in model.collect():
+        _, x = dense(pdf, row["category_key"])
+        r = np.eye(row["n_components"])[((x[:, None] - centres[row["category_key"], row["n_components"]]) ** 2).sum(-1).argmin(1)]
+        for _ in range(4):
+            second = np.stack([(x * r[:, j : j + 1]).T @ x for j in range(r.shape[1])])
+            want = Mixture.from_moments(r.sum(0), r.T @ x, second, len(x), params.gmm_reg_covar)
+            logs = dense_log_parts(want, x)
+            r = np.exp(logs - log_sum(logs)[:, None])
+        got = Mixture.from_row(row)
+        assert np.allclose(got.weights, want.weights, atol=1e-6) and np.allclose(got.means, want.means, atol=1e-5)
+        assert np.allclose(got.covariances, want.covariances, atol=1e-4)
+
+
+def test_weighted_candidates_are_clustered():
     rng = np.random.default_rng(0)
-    x = np.vstack([rng.normal(0, 1, (300, 2)), rng.normal(8, 1, (100, 2))])
-    model, ll = fit_sample(x, 2, 1e-4, 100, 7)
-    assert sorted(np.round(model.weights, 2)) == [0.25, 0.75]
-    one, ll_one = fit_sample(x, 1, 1e-4, 100, 7)
-    assert ll > ll_one and isinstance(one, Mixture)
+    x = np.vstack([rng.normal(0, 1, (30, 2)), rng.normal(8, 1, (10, 2))])
+    centres = cluster_weighted(x, np.ones(40), 2, 7)
+    assert np.allclose(np.sort(centres[:, 0]), [x[:30, 0].mean(), x[30:, 0].mean()])
+    assert cluster_weighted(x[:1], np.ones(1), 3, 7).shape == (3, 2)
 
 
 def exact_weights(kernel, nu, steps=20000):
