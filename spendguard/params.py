@@ -35,7 +35,6 @@ class Params:
     gmm_reg_covar: float = 1e-4
     gmm_max_iter: int = 100
     ocsvm_nu: float = 0.1
-    sod_subsample: int = 5000
     include_sod: bool = False
 
     ensemble_strategy: str = "consensus"

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from spendguard.detectors import gmm, neighbors
+from spendguard.detectors import gmm, neighbors, sod
 from spendguard.detectors.gmm import Layout, Mixture, cluster_weighted, fit_gmm, fit_mixtures, log_sum, score_gmm
 from spendguard.detectors.grouped import map_with_model
 from spendguard.detectors.iforest import average_path, fit_iforest, score_iforest
@@ -272,6 +272,36 @@ def test_weighted_candidates_are_clustered():
     assert cluster_weighted(x[:1], np.ones(1), 3, 7).shape == (3, 2)
 
 
+@pytest.mark.parametrize("piece", [2000, 5])
+def test_subspace_degree_equals_brute_force(spark, piece, monkeypatch):
+    """All training rows are references; a third of the rows are copies of one."""
+    monkeypatch.setattr(sod.reference_sets, "__defaults__", (sod.REFERENCE_SET, piece))
+    pdf = table(500, 3)
+    same = pdf.index[pdf.category_key == "BIG"][20:130]
+    for c in ("a", "b", "c", "fav_bucket", "cta_bucket"):
+        pdf.loc[same, c] = pdf.loc[same[0], c]
+    df = materialise(spark.createDataFrame(pdf), "sod_rows")
+    scaler, buckets = fit_scaler(df, SPACE), fit_buckets(df, SPACE)
+    points = materialise(apply_scaler(df, scaler, buckets, SPACE), "sod_points")
+    blocks = pack_blocks(points, SPACE)
+    found = materialise(nearest(blocks, blocks, sod.NEIGHBORS, SPACE, exclude_self=True), "sod_found")
+    got = sod.score_sod(points, found, sod.sod_reference(points, found, buckets, SPACE), SPACE).toPandas().set_index("record_id").score
+    assert len(got) == len(pdf)
+    lists = {r["record_id"]: set(r["near"]) for r in found.collect()}
+    for key in ("BIG", "SMALL"):
+        ids, x = dense(pdf, key)
+        for i, own in enumerate(ids):
+            shared = [(-len(lists[own] & lists[r]), r, j) for j, r in enumerate(ids) if r != own]
+            best = [j for n, _, j in sorted(shared)[: sod.REFERENCE_SET] if n]
+            want = 0.0
+            if best:
+                group = x[best]
+                spread = np.where(group.var(0) < 1e-12, 0, group.var(0))
+                kept = spread < sod.ALPHA * spread.mean()
+                want = np.sqrt(((x[i, kept] - group[:, kept].mean(0)) ** 2).sum()) / max(kept.sum(), 1)
+            assert got[own] == pytest.approx(want, abs=1e-7)
+
+
 def exact_weights(kernel, nu, steps=20000):
     """Minimise ½ αᵀKα with 0 ≤ α ≤ 1 and Σα = νn by moving weight between the most violating pair."""
     n = len(kernel)
