@@ -8,6 +8,7 @@ from checks.base import (
     CONTAMINATION_CTE,
     DISTANCE,
     NUMERIC,
+    FEATURES_CTE,
     ORDERS_CTE,
     PARAMS,
     POINTS_CTE,
@@ -24,7 +25,7 @@ from checks.base import (
     thresholds_cte,
     train_of,
 )
-from spendguard.detectors.gmm import fit_gmm, score_gmm
+from spendguard.detectors.gmm import fit_gmm, fit_mixtures, score_gmm
 from spendguard.detectors.iforest import fit_iforest, score_iforest
 from spendguard.detectors.knn import knn_score, knn_scores
 from spendguard.detectors.lof import lof_reference, lof_score
@@ -277,6 +278,24 @@ def gaussian_mixture(spark, sf_dir):
     return score_gmm(new, model, PARAMS, SPACE)
 
 
+@query(
+    "mixture_sizes",
+    f"""WITH {FEATURES_CTE} SELECT category_key, {PARAMS.gmm_max_components} AS n_sizes, count(*) AS n_rows, 0.0::DOUBLE AS bic_gap
+    FROM feat WHERE split = 'train' GROUP BY category_key""",
+)
+def mixture_sizes(spark, sf_dir):
+    """Every size is fitted to every training row, and the criterion follows from the stored log-likelihood."""
+    train, _ = _split_points(spark, sf_dir)
+    fitted = fit_mixtures(train, fit_buckets(train_of(order_features(spark, sf_dir)), SPACE), PARAMS, SPACE)
+    d, k, n = SPACE.width, F.col("n_components").cast("double"), F.col("n_rows").cast("double")
+    free = k * (1 + d + d * (d + 1) / 2) - 1
+    gap = F.abs(F.col("bic") - (free * F.log(n) - 2 * n * F.col("log_likelihood"))) / F.greatest(F.abs("bic"), F.lit(1.0))
+    return fitted.groupBy("category_key").agg(
+        F.count_distinct("n_components").cast("int").alias("n_sizes"), F.min("n_rows").alias("n_rows"),
+        F.round(F.max(gap), 9).alias("bic_gap"),
+    )
+
+
 @query("one_class_svm")
 def one_class_svm(spark, sf_dir):
     train, new = _split_points(spark, sf_dir)
@@ -300,6 +319,26 @@ def full_run_predictions(spark, sf_dir):
     return full_run(spark, sf_dir).predictions
 
 
+@query(
+    "full_run_vote",
+    f"""WITH {FEATURES_CTE} SELECT category_key, count(*) AS n_records, 0::BIGINT AS wrong_votes, 0::BIGINT AS wrong_scores,
+    0::BIGINT AS outside_range FROM feat WHERE split IN ('test', 'infer') GROUP BY category_key""",
+)
+def full_run_vote(spark, sf_dir):
+    """A record is flagged if all six detectors flag it; its score is their mean; all scores lie in 0 to 1."""
+    models = _FULL.active_detectors()
+    votes, total = (sum((F.col(f"{p}_{m}") for m in models), F.lit(0)) for p in ("anomaly", "score"))
+    inside = F.lit(True)
+    for m in models:
+        inside = inside & F.col(f"score_{m}").between(0, 1)
+    return full_run(spark, sf_dir).predictions.groupBy("category_key").agg(
+        F.count("*").alias("n_records"),
+        F.count_if((votes == len(models)) != (F.col("ensemble_flag") == 1)).alias("wrong_votes"),
+        F.count_if(F.abs(total / len(models) - F.col("ensemble_score")) > 1e-9).alias("wrong_scores"),
+        F.count_if(~F.coalesce(inside, F.lit(False))).alias("outside_range"),
+    )
+
+
 @query("full_run_metrics")
 def full_run_metrics(spark, sf_dir):
     found = full_run(spark, sf_dir).metrics
@@ -368,7 +407,7 @@ def single_category(spark, sf_dir):
 
 @query(
     "amount_silhouette",
-    f"""WITH {ORDERS_CTE}, l AS (SELECT verba, valor, CAST(valor > 300000 AS INTEGER) AS label FROM adj),
+    f"""WITH {ORDERS_CTE}, l AS (SELECT verba, valor, CAST(valor > 30000 AS INTEGER) AS label FROM adj),
     s AS (SELECT verba, label, valor, count(*) OVER c AS n, sum(valor) OVER c AS t,
         count(*) OVER (PARTITION BY verba) AS n_all, sum(valor) OVER (PARTITION BY verba) AS t_all,
         count(*) OVER o AS k, sum(valor) OVER o AS u, count(*) OVER a AS k_all, sum(valor) OVER a AS u_all
@@ -379,5 +418,5 @@ def single_category(spark, sf_dir):
     SELECT verba, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM w GROUP BY verba""",
 )
 def amount_silhouette_of_orders(spark, sf_dir):
-    labelled = adjusted_orders(spark, sf_dir).withColumn("label", (F.col("valor") > 300000).cast("int"))
+    labelled = adjusted_orders(spark, sf_dir).withColumn("label", (F.col("valor") > 30000).cast("int"))
     return amount_silhouette(labelled, "valor", "label", ["verba"]).withColumn("silhouette", F.round("silhouette", 6))

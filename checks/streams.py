@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import price_index, query, table
+from checks.base import HEAVY_AMOUNT, ORDERS_CTE, key_sql, orders, price_index, query, table
 from checks.detectors import full_run
+from spendguard import columns as C
+from spendguard.plans.score import score_records
 from spendguard.scratch import scratch_path
 from spendguard.sources import as_expenses
 from spendguard.streaming import score_stream, temporal_metrics_stream
@@ -48,13 +50,16 @@ def windowed_flag_counts(spark, sf_dir):
     )
 
 
-@query("scored_stream")
+@query(
+    "scored_stream",
+    f"""WITH {ORDERS_CTE} SELECT {key_sql('verba')} AS category_key, count(*) AS n_records, 0::BIGINT AS n_different FROM adj GROUP BY ALL""",
+)
 def scored_stream(spark, sf_dir):
-    """All orders scored as a stream with the models of the batch run."""
+    """All orders scored as a stream with the models of the batch run, against the same rows scored as a batch."""
     models = full_run(spark, sf_dir).models
     rows = _stream(spark, sf_dir, "orders")
     records = as_expenses(
-        rows, F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_custkey"), F.col("o_totalprice"), F.col("o_orderdate"),
+        rows, F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_custkey"), F.expr(HEAVY_AMOUNT), F.col("o_orderdate"),
         F.col("o_orderstatus"),
     ).drop("is_reversal", "year")
     out = scratch_path(spark, "scored_stream")
@@ -64,6 +69,12 @@ def scored_stream(spark, sf_dir):
         .start()
     )
     job.awaitTermination()
-    return spark.read.parquet(out).select(
-        "record_id", "category_key", "ensemble_flag", F.round("ensemble_score", 6).alias("ensemble_score")
+    columns = [C.CATEGORY_KEY, C.RECORD_ID, "ensemble_flag", "ensemble_score"]
+    batch = score_records(orders(spark, sf_dir).drop("is_reversal", "year"), price_index(spark), models["group_means"], models)
+    both = spark.read.parquet(out).select(*columns).join(
+        batch.select(*columns[:2], F.col("ensemble_flag").alias("_flag"), F.col("ensemble_score").alias("_score")), columns[:2], "full"
+    )
+    same = (F.col("ensemble_flag") == F.col("_flag")) & (F.abs(F.col("ensemble_score") - F.col("_score")) < 1e-9)
+    return both.groupBy(C.CATEGORY_KEY).agg(
+        F.count("*").alias("n_records"), F.count_if(~F.coalesce(same, F.lit(False))).alias("n_different")
     )
