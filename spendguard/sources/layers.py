@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from spendguard import columns as C
-from spendguard.scratch import delete
+from spendguard.scratch import delete, materialise
 
 
 def write_layer(
@@ -23,6 +23,7 @@ def write_layer(
     `covered` lists the categories that the run dealt with: those without rows in `df` lose their old rows.
     """
     if covered is not None:
+        df = materialise(df, "layer")  # the rows may come from the folders that are cleared
         clear_categories(covered, path)
     (
         df.write.mode(mode)

@@ -7,7 +7,8 @@ from spendguard.operators import rank
 from spendguard.params import Params
 from spendguard.plans import list_models, load_models, predict, run, save_models, score_batch, score_records
 from spendguard.scratch import materialise
-from spendguard.sources import as_expenses, read_results, write_metrics, write_ranking, write_results
+from spendguard.sources import as_expenses, read_layer, read_results, write_layer, write_metrics, write_ranking, write_results, write_run
+from spendguard.sources.sets import manifests, read_set, write_set
 
 PARAMS = Params(
     train_years=(2018, 2019), test_years=(2020,), inference_years=(2021,), excluded_years=(), min_rows_train=100,
@@ -166,3 +167,62 @@ def test_results_of_a_later_run_leave_no_old_flags(spark, done, tmp_path):
     assert {r[0] for r in read_results(spark, path).select("category").distinct().collect()} == {one}
     write_results(done.flagged.limit(0), path, covered=covered)
     assert read_results(spark, path).isEmpty()
+
+
+def test_flags_vanish_by_default(spark, done, tmp_path):
+    path = str(tmp_path / "flags")
+    write_results(done.flagged, path)
+    kept = sorted({r[0] for r in read_results(spark, path).select("category").collect()})[:1]
+    write_results(done.flagged.where(F.col("category_key").isin(kept)), path)
+    assert {r[0] for r in read_results(spark, path).select("category").collect()} == set(kept)
+    write_run(done, path)
+    assert read_results(spark, path).count() == done.flagged.count()
+    assert read_set(spark, path)["metrics"].count() == 2
+
+
+def test_models_saved_to_the_path_they_came_from(spark, expenses, index, done, tmp_path):
+    path = str(tmp_path / "models")
+    one = run(expenses, index, PARAMS, category="diarias")
+    save_models(one.models, path)
+    loaded = load_models(spark, path, PARAMS)
+    assert [r[0] for r in list_models(loaded).collect()] == ["DIARIAS"]
+    counts = {n: t.count() for n, t in loaded.tables.items()}
+    both = run(expenses, index, PARAMS, models=loaded)
+    save_models(both.models, path)
+    again = load_models(spark, path, PARAMS)
+    assert [r[0] for r in list_models(again).collect()] == ["CORREIO___SELOS", "DIARIAS"]
+    for name, n in counts.items():
+        if name != "group_means":
+            assert again[name].where("category_key = 'DIARIAS'").count() == n
+            assert loaded[name].count() == n  # the former version can still be read
+    again_scored = predict(both.features.where("split = 'test'"), again).agg(F.sum("ensemble_score")).first()[0]
+    assert again_scored == pytest.approx(predict(both.features.where("split = 'test'"), both.models).agg(F.sum("ensemble_score")).first()[0])
+
+
+def rows_of(spark, *pairs):
+    return spark.createDataFrame(pairs, "category_key string, x int")
+
+
+def test_a_crash_between_two_tables_leaves_the_old_set(spark, tmp_path):
+    path = str(tmp_path / "set")
+    only = lambda *names: spark.createDataFrame([(n,) for n in names], "category_key string")
+    write_set({"a": rows_of(spark, ("01", 1), ("y", 2)), "b": rows_of(spark, ("y", 3))}, path, only("01", "y"))
+    broken = rows_of(spark, ("y", 9)).withColumn("x", F.expr("if(x = 9, raise_error('lost'), x)"))
+    with pytest.raises(Exception, match="lost"):
+        write_set({"a": rows_of(spark, ("y", 8)), "b": broken}, path, only("y"))
+    read = lambda: {n: sorted(map(tuple, t.select("category_key", "x").collect())) for n, t in read_set(spark, path).items()}
+    assert read() == {"a": [("01", 1), ("y", 2)], "b": [("y", 3)]}
+    write_set({"a": rows_of(spark, ("z", 5), ("y", 7)), "b": rows_of(spark)}, path, only("y"))  # z is not covered
+    assert read() == {"a": [("01", 1), ("y", 7)], "b": []}
+    for i in range(3):
+        write_set({"a": rows_of(spark, ("z", i))}, path, only("z"))
+    assert read() == {"a": [("01", 1), ("y", 7), ("z", 2)], "b": []}
+    assert len(manifests(spark, path)) == 2 and len(list((tmp_path / "set/data/a").iterdir())) == 4
+    assert read_set(spark, str(tmp_path / "none")) == {}
+
+
+def test_a_layer_rewritten_from_itself(spark, tmp_path):
+    path = str(tmp_path / "layer")
+    write_layer(rows_of(spark, ("a", 1), ("b", 2)), path)
+    write_layer(read_layer(spark, path).where("x = 1"), path, covered=rows_of(spark, ("a", 0), ("b", 0)))
+    assert [(r["category_key"], r["x"]) for r in read_layer(spark, path).collect()] == [("a", 1)]
