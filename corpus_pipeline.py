@@ -18,17 +18,27 @@ from spendguard.scratch import materialise
 from spendguard.session import ship_package
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def row_key() -> Column:
     """Identity of a document: its id and its text, so rows without an id or with a repeated one stay apart."""
     return F.xxhash64("doc_id", "text")
 
 
+def prepare(spark: SparkSession) -> None:
+    """Make the package known to the workers, and keep Arrow batches of whole texts small unless the session says how large."""
+    ship_package(spark)
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, "2000")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; texts that are null or have no letter (`und`) go.
 
     The languages are learned from the labels that the documents carry; without any label, a letter is enough.
     """
-    ship_package(spark)
+    prepare(spark)
     model = fit_languages(docs)
     if not model[0]:
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -42,7 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that share an id but not a text are different documents; texts without a word are linked with nothing.
     """
-    ship_package(spark)
+    prepare(spark)
     # The key is the id, so that the groups start from the oldest document; further texts of an id get a negative one.
     digest = F.xxhash64("text")
     texts = docs.groupBy("doc_id").agg(F.min(digest).alias("_first"), F.max(digest).alias("_last"))
@@ -59,7 +69,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
-    ship_package(spark)
+    prepare(spark)
     keyed = docs.withColumn("_key", row_key())
     taken = mix(keyed.withColumn("doc_id", F.col("_key")).drop("_key"))
     copies = taken.where("taken > 0").groupBy(F.col("doc_id").alias("_key")).agg(
@@ -71,7 +81,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place of every piece of every document (repeats are packed each) in sequences of 1024 tokens."""
-    ship_package(spark)
+    prepare(spark)
     return packed_digests(docs)
 
 
