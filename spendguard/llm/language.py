@@ -21,7 +21,7 @@ from spendguard.llm.registry import query, table
 
 BITS = 18
 SLICE = 1 << 12
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 # ASCII letters to lower case, other ASCII to the border byte; bytes of longer characters stay.
 _FOLD = np.full(256, 32, np.uint32)

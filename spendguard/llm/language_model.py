@@ -1,7 +1,7 @@
 """Scoring texts with a hierarchical Pitman-Yor language model (Teh 2006).
 
 One restaurant per context, all sharing the root restaurant as parent; the root's base is uniform over the
-known types and one unknown type. A context is the word before, by 48 bits of its hash, and every one has a restaurant.
+known types and one unknown type. A context is the word before, by 40 bits of its hash, and every one has a restaurant.
 Tables are seated by Gibbs sampling, and predictive probabilities are averaged over the samples.
 
 Work is split by word. Each task turns its texts into blocks of (word, context) counts; the counts are shuffled to
@@ -34,7 +34,7 @@ from spendguard.scratch import keep, materialise, scope, session_conf, tasks
 END = np.uint64(0x5851F42D4C957F2D)
 CHUNK_BYTES = 2_000_000
 HASH_BYTES = 1_000_000
-CONTEXT = np.uint64((1 << 48) - 1)  # restaurants go by the lower 48 bits of the previous word's hash
+CONTEXT = np.uint64((1 << 40) - 1)  # restaurants go by the lower 40 bits of the previous word's hash
 UNIT = 2.0**-28  # of the scores that buckets send
 SENT_WORDS = 500_000
 #: Shuffle files go as soon as their job has written its table.
@@ -86,7 +86,7 @@ def _each(batch: pa.RecordBatch) -> Iterator[dict]:
     """Rows one by one: a row can be large."""
     for i in range(batch.num_rows):
         yield batch.slice(i, 1).to_pylist()[0]
-        if i % 16 == 15:
+        if i % 64 == 63:
             give_back()
     give_back()
 
