@@ -6,8 +6,6 @@ means that the feature shortens the path, that is, makes the record easier to is
 
 from __future__ import annotations
 
-from math import factorial
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -48,48 +46,78 @@ def _paths(tree: dict, offsets: np.ndarray, n_numeric: int) -> list[dict]:
     return leaves
 
 
-def tree_shap(data: np.ndarray, tree: dict, offsets: np.ndarray, n_numeric: int, width: int) -> tuple[np.ndarray, float]:
-    """Shapley values (rows × features) of one tree's path length, and its mean over the tree's sample.
+def _leaf_values(follows: np.ndarray, cover: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Shapley values (features × rows × leaves) of leaves with equally many features.
+
+    `follows` (features × rows × leaves) is 1 where a row keeps to the path of the leaf, `cover` the share of the
+    sample that does. The weight of a subset of s of the d - 1 other features is the integral of t^s (1 - t)^(d-1-s)
+    from 0 to 1, so the sum over all subsets is the integral of a product of d - 1 linear factors, which
+    Gauss-Legendre quadrature with half as many nodes gives exactly.
+    """
+    d = len(follows)
+    nodes, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
+    inner = np.zeros_like(follows)
+    for t, w in zip((nodes + 1) / 2, weights / 2):
+        factors = t * follows + (1 - t) * cover.T[:, None, :]  # covers are positive and t is below 1
+        inner += w * np.prod(factors, 0) / factors
+    return inner * (follows - cover.T[:, None, :]) * value
+
 
-    For one leaf the game is a product over the features of its path, so the sum over feature subsets is
-    read off a polynomial of degree path length minus one.  Leaves with equally many features are
-    handled together.
+class TreeShap:
+    """Shapley values of one tree's path length.
+
+    What a leaf adds depends only on which features of its path a row satisfies, and a path is short. Where there are
+    more rows than such patterns, the values of all patterns are computed once and rows look them up.
     """
-    leaves = _paths(tree, offsets, n_numeric)
-    base = sum(leaf["value"] * leaf["share"] for leaf in leaves)
-    feature, cut = np.asarray(tree["feature"]), np.asarray(tree["cut"])
-    x = data[:, np.maximum(feature, 0)]
-    holds = np.where(feature < n_numeric, x <= cut, x != cut).astype(float)
-    by_step = {True: holds, False: 1.0 - holds}
-    phi = np.zeros((len(data), width))
-    for d in {len(leaf["path"]) for leaf in leaves} - {0}:
-        group = [leaf for leaf in leaves if len(leaf["path"]) == d]
-        value = np.array([leaf["value"] for leaf in group])
-        names = np.array([list(leaf["path"]) for leaf in group])
-        cover = np.array([[share for share, _ in leaf["path"].values()] for leaf in group])
-        follows = np.ones((d, len(data), len(group)))
-        for g, leaf in enumerate(group):
-            for j, (_, steps) in enumerate(leaf["path"].values()):
-                for node, first in steps:
-                    follows[j, :, g] *= by_step[first][:, node]
-        weight = [factorial(s) * factorial(d - s - 1) / factorial(d) for s in range(d)]
-        for j in range(d):
-            poly = np.zeros((d, len(data), len(group)))
-            poly[0] = 1.0
-            for degree, i in enumerate([i for i in range(d) if i != j]):
-                for s in range(degree + 1, 0, -1):
-                    poly[s] = poly[s] * cover[:, i] + poly[s - 1] * follows[i]
-                poly[0] *= cover[:, i]
-            mass = np.tensordot(weight, poly, 1)
-            part = mass * (follows[j] - cover[:, j]) * value
-            to = np.zeros((len(group), width))
-            to[np.arange(len(group)), names[:, j]] = 1.0
-            phi += part @ to
-    return phi, base
+
+    def __init__(self, tree: dict, offsets: np.ndarray, n_numeric: int, width: int, n_rows: int):
+        self.leaves = _paths(tree, offsets, n_numeric)
+        self.base = sum(leaf["value"] * leaf["share"] for leaf in self.leaves)  # mean over the tree's sample
+        self.feature, self.cut = np.asarray(tree["feature"]), np.asarray(tree["cut"])
+        self.n_numeric, self.width = n_numeric, width
+        self.groups = []
+        for d in sorted({len(leaf["path"]) for leaf in self.leaves} - {0}):
+            group = [leaf for leaf in self.leaves if len(leaf["path"]) == d]
+            value = np.array([leaf["value"] for leaf in group])
+            names = np.array([list(leaf["path"]) for leaf in group])
+            cover = np.array([[share for share, _ in leaf["path"].values()] for leaf in group])
+            patterns = None
+            if n_rows > 1 << d:
+                bits = (np.arange(1 << d) >> np.arange(d)[:, None] & 1).astype(float)
+                patterns = _leaf_values(np.repeat(bits[:, :, None], len(group), 2), cover, value)
+            self.groups.append((d, group, value, names, cover, patterns))
+
+    def __call__(self, data: np.ndarray) -> np.ndarray:
+        """Rows × features."""
+        x = data[:, np.maximum(self.feature, 0)]
+        holds = np.where(self.feature < self.n_numeric, x <= self.cut, x != self.cut)
+        by_step = {True: holds, False: ~holds}
+        phi = np.zeros((len(data), self.width))
+        for d, group, value, names, cover, patterns in self.groups:
+            follows = np.ones((d, len(data), len(group)), bool)
+            for g, leaf in enumerate(group):
+                for j, (_, steps) in enumerate(leaf["path"].values()):
+                    for node, first in steps:
+                        follows[j, :, g] &= by_step[first][:, node]
+            if patterns is None:
+                parts = _leaf_values(follows.astype(float), cover, value)
+            else:
+                code = np.tensordot(1 << np.arange(d), follows, 1)
+                parts = patterns[:, code, np.arange(len(group))]
+            to = np.zeros((d, len(group), self.width))
+            to[np.arange(d)[:, None], np.arange(len(group)), names.T] = 1.0
+            phi += np.tensordot(parts, to, ([0, 2], [0, 1]))
+        return phi
+
+
+def tree_shap(data: np.ndarray, tree: dict, offsets: np.ndarray, n_numeric: int, width: int) -> tuple[np.ndarray, float]:
+    """Shapley values (rows × features) of one tree's path length, and its mean over the tree's sample."""
+    explainer = TreeShap(tree, offsets, n_numeric, width, len(data))
+    return explainer(data), explainer.base
 
 
 _SPREAD = 256
-_STRIP = 1000
+_STRIP = 500
 
 
 def explain(
@@ -119,10 +147,10 @@ def explain(
         data = part[data_cols].to_numpy(float)
         phi, means = np.zeros((len(data), width)), []
         for tree in forest.to_dict("records"):
+            explainer = TreeShap(tree, offsets, m, width, len(data))
             for s in range(0, len(data), _STRIP):
-                values, mean = tree_shap(data[s : s + _STRIP], tree, offsets, m, width)
-                phi[s : s + _STRIP] += values / len(forest)
-            means.append(mean)
+                phi[s : s + _STRIP] += explainer(data[s : s + _STRIP]) / len(forest)
+            means.append(explainer.base)
         base = float(np.mean(means))
         shown = dense_points(
             part[layout].to_numpy(float), [np.asarray(forest[c].iloc[0], float) for c in share_cols], space

@@ -17,7 +17,7 @@ from spendguard.detectors.neighbors import nearest, pack_blocks
 from spendguard.detectors.ocsvm import fit_ocsvm, score_ocsvm
 from spendguard.detectors.silhouette import squared_silhouette
 from spendguard.detectors.space import Space, apply_scaler, dense_points, fit_buckets, fit_scaler, shares_by_category
-from spendguard.operators.explain import tree_shap
+from spendguard.operators.explain import TreeShap, tree_shap
 from spendguard.params import Params
 from spendguard.scratch import materialise
 
@@ -187,6 +187,16 @@ def test_attributions_equal_shapley_values(data):
     assert base == pytest.approx(path_value(x[0], trees[-1], set(), offsets, 3))
 
 
+def test_attributions_looked_up_equal_computed_ones(data):
+    _, _, points, _ = data
+    trees = [t.asDict() for t in fit_iforest(points, PARAMS.with_(iforest_trees=2, iforest_sample=64), SPACE).where("category_key = 'BIG'").collect()]
+    x = points.where("category_key = 'BIG'").limit(300).toPandas()[[*SPACE.z, *SPACE.buckets]].to_numpy(float)
+    offsets = 3 + np.cumsum([0, *SPACE.sizes[:-1]])
+    for tree in trees:
+        looked_up, computed = (TreeShap(tree, offsets, 3, SPACE.width, n)(x) for n in (10**9, 1))
+        assert len(x) > 100 and np.allclose(looked_up, computed, atol=1e-12)
+
+
 def test_mixture(data, spark):
     pdf, _, points, buckets = data
     model = fit_gmm(points, buckets, PARAMS, SPACE)
