@@ -1,7 +1,9 @@
 """Language, scoring, extraction, licences and the pipeline."""
 
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -9,7 +11,7 @@ import numpy as np
 import pytest
 from conftest import SF_DIR, WORDS
 
-from spendguard.llm.extraction import extract, fit_weights, main_text
+from spendguard.llm.extraction import default_weight, extract, fit_weights, main_text, page_items, page_tokens
 from spendguard.llm.language import fit_languages, identify, mixture
 from spendguard.llm.language_model import score_texts, seat
 from spendguard.llm.licenses import LICENSES, known_licenses, scan
@@ -192,3 +194,65 @@ def test_pipeline_keeps_different_texts_of_one_id(spark):
     assert pipeline.language_id(spark, docs, SF_DIR).count() == 5
     mixed = pipeline.mixing(spark, docs, SF_DIR)
     assert {r["text"] for r in mixed.collect()} <= {t for _, t in rows} and mixed.columns == docs.columns
+
+
+@pytest.mark.parametrize(
+    "unit, tail",
+    [("<a ", ""), ("<a ", "\""), ("<" + "a" * 50, ""), ("<i></b>", ""), ("<a \"", ""), ("<a '\">", "\""), ("<b><p></p>", "")],
+)
+def test_broken_markup_takes_linear_time(unit, tail):
+    def seconds(n):
+        page = unit * (n // len(unit)) + tail
+        start = time.process_time()
+        main_text(page, {})
+        return time.process_time() - start
+
+    assert seconds(800_000) < 6 * seconds(200_000) + 1
+
+
+def test_tokens_of_unclosed_tags_and_quotes():
+    kinds = lambda page: [(k, n or t) for k, n, _, t in page_tokens(page)]
+    assert kinds('a<b title="x > y">c</b>') == [("text", "a"), ("open", "b"), ("text", "c"), ("close", "b")]
+    assert kinds('a<b title="x>c') == [("text", "a"), ("text", "c")]  # the quote never ends: the tag ends at its `>`
+    assert kinds("1 < 2 <p") == [("text", "1 "), ("text", "< 2 ")]
+    assert kinds("<!-- <p> -->x<!-- y") == [("text", "x")]
+    assert kinds("<script>if (a < b) '</p>'</SCRIPT >z<style>q") == [("opaque", "script"), ("text", "z"), ("opaque", "style")]
+
+
+def test_compound_class_names_of_asides():
+    body = "word " * 40
+    for name in ("post-comments", "related-posts", "cookie-banner", "newsletterSignup", "js_share_box"):
+        assert main_text(f"<article><p>{body}</p><div class='{name}'><p>{body}</p></div></article>", {}) == body.strip()
+    for name in ("no-sidebar", "content--with-sidebar", "shareholder", "recommended"):
+        assert main_text(f"<div class='{name}'><p>{body}</p></div>", {}) == body.strip()
+
+
+def test_content_after_a_table_without_learned_weights():
+    cells = "".join(f"<tr><td>{i}</td><td>x</td></tr>" for i in range(60))
+    text = main_text(f"<p>{'first ' * 30}</p><table><tbody>{cells}</tbody></table><p>{'last ' * 30}</p>", {})
+    assert text.startswith("first") and text.endswith("last") and "59" in text
+
+
+def test_best_region_against_all_regions():
+    rng = random.Random(3)
+    for _ in range(60):
+        parts = ["".join(f"<{t}>" for t in rng.choices(["div", "p", "a", "hr"], k=rng.randrange(5))) + f"w{i} " * rng.randrange(4) for i in range(9)]
+        page = "".join(parts)
+        items = page_items(page)
+        gain = [default_weight(f) * (n if t is not None else 1) for f, n, _, t, _, _ in items]
+        sums = {(i, j): sum(gain[i:j]) for i in range(len(items)) for j in range(i + 1, len(items) + 1)}
+        best = max(sums.values(), default=0)
+        found = main_text(page, {})
+        if best <= 1e-9:
+            assert found == ""
+            continue
+        # The text is that of the blocks of some region with the highest sum.
+        texts = set()
+        for (i, j), total in sums.items():
+            if total > best - 1e-9:
+                blocks = {}
+                for f, n, b, t, _, _ in items:
+                    if t is not None and items[i][2] <= b <= items[j - 1][2]:
+                        blocks.setdefault(b, []).append(t)
+                texts.add("\n".join(x for x in (" ".join("".join(p).split()) for p in blocks.values()) if x))
+        assert found in texts
