@@ -340,7 +340,7 @@ def similar_documents(
     common = (
         found.join(longer.withColumnRenamed("_prefix", "_pc"), "c")
         .join(longer.withColumnRenamed("c", "d").withColumnRenamed("_prefix", "_pd"), "d")
-        .where(f"size(array_intersect(_pc, _pd)) >= {shared}")
+        .where(f"size(array_intersect(_pc, _pd)) >= least({shared}, {overlap('n', 'm')})")
     )
     across = materialise(
         common.select(F.greatest("c", "d").alias("a"), F.least("c", "d").alias("b")).distinct(), "pairs"

@@ -52,7 +52,7 @@ def test_components(spark):
     assert got == {n: want[n] for n in got} and set(got) == {n for a, b in links if a != b for n in (a, b)}
 
 
-@pytest.mark.parametrize("width, numerator", [(4, 85), (5, 80)])
+@pytest.mark.parametrize("width, numerator", [(4, 85), (5, 80), (4, 75), (3, 50)])
 def test_similar_documents(spark, width, numerator):
     texts = families()
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
