@@ -145,6 +145,28 @@ def csv_ingestion(spark, sf_dir):
     return cleaned.select("verba", "conta", "favorecido", "trecho", "vencimento", "valor", "year", "is_reversal")
 
 
+@query(
+    "quoted_csv_ingestion",
+    """SELECT o_orderpriority AS verba, 'Diária "' || o_orderstatus || '"' || chr(10) || 'linha; ' || o_custkey AS descricao,
+    o_orderkey::VARCHAR AS trecho, year(o_orderdate)::INTEGER AS year FROM orders""",
+)
+def quoted_csv_ingestion(spark, sf_dir):
+    """Write `orders` as yearly files whose quoted fields hold line breaks, quotes and separators, then read those files."""
+    text = F.concat(F.lit('Diária "'), "o_orderstatus", F.lit('"\nlinha; '), F.col("o_custkey").cast("string"))
+    fields = [
+        F.col("o_orderpriority").alias("Verba"), text.alias("Descrição"), F.lit("").alias("Conta"), F.lit(None).cast("string").alias("Favorecido"),
+        F.col("o_orderkey").cast("string").alias("Trecho"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("Vencimento"), F.lit("1,00").alias("Valor"),
+    ]
+    root = scratch_path(spark, "quoted_csv")
+    (
+        table(spark, sf_dir, "orders")
+        .select(*fields, F.concat(F.lit("expenses_"), F.year("o_orderdate"), F.lit(".csv")).alias("file"))
+        .write.partitionBy("file").option("header", True).option("sep", ";").option("escape", '"').option("encoding", "ISO-8859-1").csv(root)
+    )
+    read = read_expenses(spark, f"{root}/file=*", line_breaks=True)
+    return read.select(F.col("Verba").alias("verba"), F.col("Descrição").alias("descricao"), F.col("Trecho").alias("trecho"), "year")
+
+
 @query(
     "layer_roundtrip",
     f"WITH {FEATURES_CTE} SELECT category_key, split, count(*) AS n, round(sum(valor_adjusted), 2) AS total FROM feat GROUP BY ALL",

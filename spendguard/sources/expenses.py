@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendguard import columns as C
+from spendguard.sources.quoted import read_records
 
 RAW_COLUMNS = ("Verba", "Descrição", "Conta", "Favorecido", "Trecho", "Vencimento", "Valor")
 _CORRUPT = "_corrupt_record"
@@ -27,12 +30,36 @@ def read_expenses(
     columns: tuple[str, ...] = RAW_COLUMNS,
     with_ids: bool = True,
     year_pattern: str = r"_(\d{4})\.csv",
+    line_breaks: bool = False,
 ) -> DataFrame:
     """Read yearly delimited files as text columns, with `year` taken from the file path.
 
     Rows with too many fields are skipped and short rows are padded with null.  `record_id` is a hash
     of file, columns and duplicate number, so it is the same in every run.
+
+    With `line_breaks`, quoted fields may hold line breaks and doubled quotes; files are still read in splits.
     """
+    if line_breaks:
+        fields = F.from_csv("_record", ", ".join(f"`{c}` string" for c in columns), {"sep": sep, "escape": '"'})
+        records = read_records(spark, path, sep, encoding).where(_record_fields(F.col("_record"), sep) <= len(columns))
+        rows = records.select("_file", fields.alias("_fields")).select("_file", "_fields.*")
+    else:
+        rows = _line_records(spark, path, sep, encoding, columns)
+    rows = rows.withColumn(C.YEAR, F.regexp_extract("_file", year_pattern, 1).try_cast("int"))
+    if not with_ids:
+        return rows.drop("_file")
+    return _with_ids(rows, columns)
+
+
+def _record_fields(record: Column, sep: str) -> Column:
+    """Number of fields of a record; quotes count only where they open a field, and doubled ones are text."""
+    mark = re.escape(sep)
+    led = F.concat(F.lit(sep), F.replace(record, F.lit('""'), F.lit("")))
+    return F.regexp_count(led, F.lit(f'{mark}(?:"[^"]*+"[^{mark}]*+|[^{mark}]*+)'))
+
+
+def _line_records(spark: SparkSession, path: str, sep: str, encoding: str, columns: tuple[str, ...]) -> DataFrame:
+    """Fields and `_file` of every line but the too long ones."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in (*columns, _CORRUPT)])
     raw = (
         spark.read.schema(schema)
@@ -49,14 +76,7 @@ def read_expenses(
     # Spark refuses queries that need the corrupt text alone, so the test also touches a data column.
     touched = F.length(F.coalesce(F.col(columns[0]), F.lit(""))) >= 0
     too_long = F.coalesce(_field_count(F.col(_CORRUPT), sep) > len(columns), F.lit(False)) & touched
-    rows = (
-        raw.where(~too_long)
-        .withColumn(C.YEAR, F.regexp_extract("_file", year_pattern, 1).try_cast("int"))
-        .drop(_CORRUPT)
-    )
-    if not with_ids:
-        return rows.drop("_file")
-    return _with_ids(rows, columns)
+    return raw.where(~too_long).drop(_CORRUPT)
 
 
 def _with_ids(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:

@@ -1,10 +1,15 @@
+import csv
+import random
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from spendguard.operators import clean, features
 from spendguard.params import Params
+from spendguard.scratch import session_conf
 from spendguard.sources import load_or_build, read_expenses, read_index, write_layer
+from spendguard.sources.quoted import inside_after
 
 HEADER = "Verba;Descrição;Conta;Favorecido;Trecho;Vencimento;Valor"
 
@@ -129,3 +134,35 @@ def test_scopes_delete_their_tables(spark):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(paths[0])
     delete(spark, kept.inputFiles()[0])
+
+
+def rows_by_csv_module(path):
+    with open(path, encoding="latin-1", newline="") as lines:
+        rows = list(csv.reader(lines, delimiter=";"))[1:]
+    return [tuple(v.replace("\r\n", "\n") or None for v in r) + (None,) * (7 - len(r)) for r in rows if r and len(r) <= 7]
+
+
+@pytest.mark.parametrize("split_bytes", [300, 100_000])
+def test_quoted_line_breaks(spark, tmp_path, split_bytes):
+    rng = random.Random(split_bytes)
+    texts = ["plain", '"a\nb"', '"x;""y""\n\n;z"', '5" pipe', '""', '"é\n;"', "", '"long\n' + "line\n" * 80 + 'end"']
+    for year in (2019, 2020, 2021):
+        write_year(tmp_path, year, [
+            ";".join(rng.choice(texts) for _ in range(rng.choice([7, 7, 7, 7, 3, 8]))) for _ in range(30)
+        ] if year != 2021 else [])
+    want = sum((rows_by_csv_module(tmp_path / f"expenses_{y}.csv") for y in (2019, 2020, 2021)), [])
+    with session_conf(spark, spark__sql__files__maxPartitionBytes=split_bytes, spark__sql__files__openCostInBytes=1):
+        got = read_expenses(spark, str(tmp_path), line_breaks=True)
+        rows = [tuple(r) for r in got.drop("record_id", "year").collect()]
+        years = {r[0] for r in got.select("year").distinct().collect()}
+    order = lambda r: tuple(v or "" for v in r)
+    assert sorted(rows, key=order) == sorted(want, key=order)
+    assert years == {2019, 2020}
+
+
+def test_state_at_line_ends():
+    for line, outside, inside in [
+        (b"a;b", False, True), (b'a;"b', True, False), (b'"a;b"', False, False), (b'b";c', False, False), (b'5" x', False, False),
+        (b'a""b', False, True), (b'x";"y', True, True), (b"", False, True),
+    ]:
+        assert (inside_after(line, False, b";"), inside_after(line, True, b";")) == (outside, inside), line
