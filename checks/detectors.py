@@ -30,7 +30,7 @@ from spendguard.detectors.iforest import fit_iforest, score_iforest
 from spendguard.detectors.knn import knn_score, knn_scores
 from spendguard.detectors.lof import lof_reference, lof_score
 from spendguard.detectors.neighbors import knn_join, nearest, pack_blocks
-from spendguard.detectors.ocsvm import fit_ocsvm, score_ocsvm
+from spendguard.detectors.ocsvm import GAP, fit_ocsvm, score_ocsvm
 from spendguard.detectors.silhouette import amount_silhouette, silhouette
 from spendguard.detectors.space import Space, apply_scaler, fit_buckets, fit_scaler
 from spendguard.detectors.thresholds import ensemble, fit_threshold, flag_scores, minmax_scores, widen
@@ -302,6 +302,22 @@ def one_class_svm(spark, sf_dir):
     return score_ocsvm(new, fit_ocsvm(train, PARAMS, SPACE), PARAMS, SPACE)
 
 
+@query(
+    "one_class_svm_gap",
+    f"""WITH {FEATURES_CTE} SELECT category_key, count(*) AS n_rows, {PARAMS.ocsvm_nu}::DOUBLE AS share_above, TRUE AS gap_is_small
+    FROM feat WHERE split = 'train' GROUP BY category_key""",
+)
+def one_class_svm_gap(spark, sf_dir):
+    """Every category's vector is proven close to the best one, and its offset cuts off the wanted share of rows."""
+    train, _ = _split_points(spark, sf_dir)
+    model = fit_ocsvm(train, PARAMS, SPACE)
+    squares = F.aggregate("weights", F.lit(0.0), lambda total, x: total + x * x)
+    shares = score_ocsvm(train, model, PARAMS, SPACE).groupBy("category_key").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.round(F.avg((F.col("score") > 0).cast("double")), 2).alias("share_above")
+    )
+    return shares.join(model.select("category_key", (F.col("gap") <= GAP * squares).alias("gap_is_small")), "category_key")
+
+
 _FULL = PARAMS.with_(include_sod=True)
 _RUNS: dict[tuple, object] = {}
 

@@ -25,6 +25,7 @@ def map_with_model(
     chunk_rows: int = CHUNK_ROWS,
     combine: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame] | None = None,
     laid_out: bool = False,
+    held_categories: int | None = None,
 ) -> DataFrame:
     """Run `fn(rows, model rows)` for each category; categories without a model give no rows.
 
@@ -32,7 +33,8 @@ def map_with_model(
     and the rows are not shuffled.  Otherwise the rows are cut into chunks of about `chunk_rows` per
     category and each chunk meets only the model rows of its own category.
 
-    With `combine`, the results of one category are merged inside each task before they leave it.
+    With `combine`, the results of one category are merged inside each task before they leave it;
+    a task that holds `held_categories` of them passes them on, and later rows give further results.
     `laid_out` says that the caller has already partitioned the rows for the work.
     """
     spark = rows.sparkSession
@@ -51,6 +53,9 @@ def map_with_model(
                     if combine is None:
                         yield out
                     else:
+                        if key not in held and held_categories and len(held) >= held_categories:
+                            yield from held.values()
+                            held.clear()
                         held[key] = combine(held[key], out) if key in held else out
             yield from held.values()
 

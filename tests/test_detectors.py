@@ -14,7 +14,7 @@ from spendguard.detectors.grouped import map_with_model
 from spendguard.detectors.iforest import average_path, fit_iforest, score_iforest
 from spendguard.detectors.lof import lof_reference
 from spendguard.detectors.neighbors import nearest, pack_blocks
-from spendguard.detectors.ocsvm import fit_ocsvm, score_ocsvm
+from spendguard.detectors.ocsvm import GAP, RandomFeatures, fit_ocsvm, score_ocsvm, shortest_mean
 from spendguard.detectors.silhouette import squared_silhouette
 from spendguard.detectors.space import Space, apply_scaler, dense_points, fit_buckets, fit_scaler, shares_by_category
 from spendguard.operators.explain import TreeShap, tree_shap
@@ -341,6 +341,45 @@ def test_one_class_svm(data):
     want = pd.Series(-exact_weights(kernel, PARAMS.ocsvm_nu)).rank()
     mine = scored.set_index("record_id").score[ids].reset_index(drop=True).rank()
     assert np.corrcoef(want, mine)[0, 1] > 0.8
+    # The stored gap bounds the true one, and the offset cuts off the wanted share.
+    for row in model.collect():
+        w, part = np.array(row.weights), points.where(F.col("category_key") == row.category_key).toPandas()
+        score = np.sort(RandomFeatures(SPACE, PARAMS.random_seed)(part[SPACE.point].to_numpy(float)) @ w)
+        wanted = PARAMS.ocsvm_nu * len(score)
+        lowest = (score[: int(wanted)].sum() + (wanted % 1) * score[int(wanted)]) / wanted
+        assert w @ w - lowest <= row.gap + 1e-5
+        assert row.gap <= GAP * (w @ w) and row.passes < 40
+        assert abs((score < row.rho).mean() - PARAMS.ocsvm_nu) < 0.01
+
+
+def test_one_class_svm_handles_odd_categories(spark):
+    rows = [("SAME", i, 0.5, 0.5, 0.5, 0, 0) for i in range(300)] + [("ONE", 300, 1.0, 0.0, 0.0, 1, 1)]
+    names = ["category_key", "record_id", *SPACE.z, *SPACE.buckets]
+    odd = spark.createDataFrame(rows, names).withColumns({w: F.lit(1.0) for w in SPACE.weights}).select(*names[:2], *SPACE.point)
+    model = fit_ocsvm(odd, PARAMS, SPACE)
+    assert {r.category_key: r.passes for r in model.collect()} == {"SAME": 2, "ONE": 2}
+    scores = score_ocsvm(odd, model, PARAMS, SPACE).toPandas()
+    assert len(scores) == 301 and np.allclose(scores.score, 0, atol=1e-5)
+    assert fit_ocsvm(odd.limit(0), PARAMS, SPACE).count() == 0
+
+
+def test_shortest_mean_of_vectors():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 5, 12):
+        x = rng.normal(0.5, 1, (n, 8))
+        share = shortest_mean(x @ x.T)
+        mean = share @ x
+        assert share.min() >= 0 and share.sum() == pytest.approx(1)
+        assert mean @ mean <= (x @ mean).min() + 1e-6  # no vector is on the near side
+
+
+def test_merged_results_leave_a_task_that_holds_many_categories(spark):
+    rows = spark.range(600).selectExpr("concat('C', id % 150) as category_key", "id as record_id").coalesce(1)
+    model = rows.select("category_key").distinct()
+    one = lambda part, known: pd.DataFrame({"category_key": part.category_key.iloc[:1], "n": [len(part)]})
+    add = lambda a, b: a.assign(n=a.n + b.n.to_numpy())
+    got = map_with_model(rows, model, one, "category_key string, n long", 1, combine=add, laid_out=True, held_categories=10)
+    assert {r.n for r in got.groupBy("category_key").agg(F.sum("n").alias("n")).collect()} == {4}
 
 
 def test_squared_silhouette(data):
