@@ -86,14 +86,12 @@ class _Ids(_Cache):
         return ids
 
 
-class SegmentIds:
-    """Token ids as little-endian unsigned 32-bit bytes.
-
-    Plain segments are encoded with the rank file of the same vocabulary, five times as fast as the tokenizer
-    library on short strings; segments with other characters or special strings by the library itself.
+class _Encoder:
+    """Ids of one segment. Plain segments are encoded with the rank file of the same vocabulary, five times as fast as
+    the tokenizer library on short strings; segments with other characters or special strings by the library itself.
     """
 
-    def __init__(self, path: str, ranks: str, cache_bytes: int = 96_000_000):
+    def __init__(self, path: str, ranks: str):
         import base64
 
         import public_tokenizers
@@ -106,20 +104,29 @@ class SegmentIds:
         self.fast = tiktoken.Encoding(
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}
         )
-        self.first = _Ids(self._encode, "", cache_bytes // 4)
-        self.later = _Ids(self._encode, " ", cache_bytes)
 
-    def _encode(self, segment: str) -> bytes:
+    def __call__(self, segment: str) -> bytes:
         if _PLAIN.fullmatch(segment) and not any(s in segment for s in self.special):
             ids = self.fast.encode_ordinary(segment)
         else:
             ids = self.tokenizer.encode(segment, add_special_tokens=False).ids
         return array("I", ids).tobytes()
 
+
+class SegmentIds:
+    """Token ids as little-endian unsigned 32-bit bytes. Caches know the encoder, not this object: without a cycle of
+    references they are freed at the end of a task.
+    """
+
+    def __init__(self, path: str, ranks: str, cache_bytes: int = 96_000_000):
+        self.encode = _Encoder(path, ranks)
+        self.first = _Ids(self.encode, "", cache_bytes // 4)
+        self.later = _Ids(self.encode, " ", cache_bytes)
+
     def __call__(self, text: str) -> bytes:
         cut = _segments(text)
         if len(cut) == 1:  # long texts without spaces are not worth keeping
-            return self._encode(text)
+            return self.encode(text)
         self.later.bound()
         self.first.bound()
         return self.first[cut[0]] + b"".join(map(self.later.__getitem__, cut[1:]))
