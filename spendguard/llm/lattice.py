@@ -91,54 +91,79 @@ def _unit_rows(column: pa.ListArray):
 
 
 def _keys(classes: DataFrame, cosine: float, tables: int, probes: int) -> DataFrame:
-    """key, id and home (1: the own cell, 0: a neighbouring one) for every table and probe."""
+    """node and keys: for every table the own cell, then the `probes` neighbouring ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, seeds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            nodes, seeds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for rows, unit in _unit_rows(batch.column(2)):
                 d = unit.shape[1]
                 width = 5 * math.sqrt(2 - 2 * cosine) * math.sqrt(8 / max(d, 16))
+                keys = np.empty((len(rows), tables, 1 + probes), np.int64)
                 for number in range(tables):
                     own, near = _cells(unit, number, width, probes)
                     seed = seeds[rows].view(np.uint64) + np.uint64(number * 4096 + d)
-                    home = _hashed(own, seed)
-                    away = _hashed(near, np.repeat(seed, probes).reshape(len(rows), probes))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate([home, away.ravel()])),
-                            pa.array(np.concatenate([ids[rows], np.repeat(ids[rows], probes)])),
-                            pa.array(np.repeat(np.array([1, 0], np.int32), [len(rows), len(rows) * probes])),
-                        ],
-                        ["key", "id", "home"],
-                    )
-
-    slim = classes.select("id", F.xxhash64("label").alias("seed"), "embedding")
-    return slim.mapInArrow(run, "key long, id long, home int")
-
-
-def _meet(rows: DataFrame, cosine: float) -> DataFrame:
-    """Links (a, b) within every (key, i, j): rows at home against all others, of two blocks if i < j."""
-
-    def links(group: dict[str, np.ndarray], vectors: pa.Array) -> np.ndarray:
-        out = []
-        for places, unit in _unit_rows(vectors):
-            ids, home, block = (group[c][places] for c in ("id", "home", "block"))
-            cross = group["i"][0] != group["j"][0]
-            at = np.flatnonzero(home)
-            for start in range(0, len(at), BLOCK):
-                left = at[start : start + BLOCK]
-                close = unit[left] @ unit.T >= cosine
-                close &= ids[left][:, None] != ids[None]
-                close &= group["label"][places][left][:, None] == group["label"][places][None]
-                if cross:
-                    close &= block[left][:, None] != block[None]
-                x, y = np.nonzero(close)
-                pair = np.stack([ids[left[x]], ids[y]], axis=1)
-                out.append(np.sort(pair, axis=1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-
-    names = ("key", "i", "j", "id", "home", "block", "label")
+                    keys[:, number, 0] = _hashed(own, seed)
+                    keys[:, number, 1:] = _hashed(near, np.repeat(seed, probes).reshape(len(rows), probes))
+                lists = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * (tables * (1 + probes)), keys.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[rows]), lists], ["node", "keys"])
+
+    slim = classes.select("node", F.xxhash64("label").alias("seed"), "embedding")
+    return slim.mapInArrow(run, "node long, keys array<long>")
+
+
+def _elsewhere(keys: np.ndarray, number: int, node: np.ndarray) -> np.ndarray:
+    """True where row x at home in a cell of table `number` and row y, found there too, count in another cell.
+
+    A pair counts in the first table where it meets; there in the home of the smaller node if both homes see it.
+    """
+    away = np.zeros((len(keys), len(keys)), bool)
+    for t in range(number + 1):
+        seen = (keys[:, t, :1, None] == keys[:, t].T[None]).any(axis=1)  # x, y: y is in the home cell of x
+        if t < number:
+            away |= seen | seen.T
+        else:
+            away |= seen & seen.T & (keys[:, t, :1] != keys[:, t, :1].T) & (node[:, None] > node[None])
+    return away
+
+
+def _group_links(group: dict[str, np.ndarray], keys: np.ndarray, vectors: pa.Array, cosine: float) -> list[np.ndarray]:
+    """node, root, links of the linked rows of one cell, or of two of its blocks.
+
+    Links are sums of the class sizes over the pairs that count here; a root is the smallest node reached inside
+    the group, so that a cluster leaves the task as a row a member, not as its pairs.
+    """
+    out = []
+    for places, unit in _unit_rows(vectors):
+        node, home, block, label, m = (group[c][places] for c in ("node", "home", "block", "label", "m"))
+        home = home == 1
+        close = unit @ unit.T >= cosine
+        close &= (node[:, None] != node[None]) & (label[:, None] == label[None]) & home[:, None]
+        if group["i"][0] != group["j"][0]:
+            close &= block[:, None] != block[None]
+        if not close.any():
+            continue
+        near = close | close.T
+        order = np.argsort(node)
+        place = np.empty(len(node), np.int64)
+        place[order] = np.arange(len(node))
+        root = place.copy()
+        while True:  # the smallest place among the neighbours, then the place that this one points to
+            least = np.minimum(root, np.where(near, root[None], len(node)).min(axis=1))
+            least = np.minimum(least, least[order[least]])
+            if (least == root).all():
+                break
+            root = least
+        here = close & ~_elsewhere(keys[places], int(group["number"][0]), node)
+        links = here @ m + np.where(home, 0, m @ here)  # pairs of two rows at home are met from both sides
+        kept = np.flatnonzero(near.any(axis=1))
+        out.append(np.stack([node[kept], node[order[root[kept]]], links[kept]]))
+    return out
+
+
+def _meet(rows: DataFrame, cosine: float, tables: int) -> DataFrame:
+    """node, root, links of every (key, i, j): rows at home against all others, of two blocks if i < j."""
+    names = ("key", "number", "i", "j", "node", "home", "block", "label", "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -150,18 +175,19 @@ def _meet(rows: DataFrame, cosine: float) -> DataFrame:
                 continue
             rest = rest.combine_chunks()
             data = {n: rest.column(n).to_numpy() for n in names}
-            new = (np.diff(data["key"]) != 0) | (np.diff(data["i"]) != 0) | (np.diff(data["j"]) != 0)
+            new = np.any([np.diff(data[c]) != 0 for c in ("key", "number", "i", "j")], axis=0)
             cut = np.concatenate([[0], np.flatnonzero(new) + 1, [len(rest)]])
             last = len(cut) - 2 if batch is not None else len(cut) - 1  # the last group may go on
+            keys = rest.column("keys").combine_chunks().flatten().to_numpy().reshape(len(rest), tables, -1)
             found, vectors = [], rest.column("embedding").combine_chunks()
             for a, b in zip(cut[:last], cut[1 : last + 1]):
                 if b - a > 1:
-                    found.append(links({n: v[a:b] for n, v in data.items()}, vectors.slice(a, b - a)))
-            pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                    found += _group_links({n: v[a:b] for n, v in data.items()}, keys[a:b], vectors.slice(a, b - a), cosine)
+            if found:
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(found, axis=1))), ["node", "root", "links"])
             rest = rest.slice(cut[last])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "node long, root long, links long")
 
 
 def near_vectors(
@@ -179,7 +205,11 @@ def near_vectors(
     may miss a link (tests hold the recall above 0.99) but every link is verified. Equal vectors of a label are
     one class and count as links of each other; a class is compared once, whatever its size. Vectors that are
     null, zero or hold null or non-finite components, and rows without a label or an id, link with nothing and
-    are their own component. Vectors of different dimensions do not link. Other columns are ignored.
+    are their own component. Vectors of different dimensions do not link. Rows that share an id are rows of their
+    own: each counts its own links. Other columns are ignored.
+
+    A pair that meets in several cells counts in one of them, which both rows know from their keys. So links are
+    summed where they are found, and a cluster leaves a task as a row a member and group.
     """
     vector = F.col(vector_col)
     nonzero = F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
@@ -192,34 +222,41 @@ def near_vectors(
     classes = materialise(
         known.where("k1 is not null").groupBy("k1", "k2").agg(
             F.min(F.struct("id", "label", "embedding")).alias("_first"), F.count("*").alias("m")
-        ).select("k1", "k2", "m", "_first.*"),
+        ).select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "m", "_first.*"),
         "vector_classes",
     )
     keys = materialise(_keys(classes, cosine, tables, probes), "cell_keys")
+    places = keys.select("node", F.posexplode("keys").alias("_at", "key")).select(
+        "key", "node", F.expr(f"_at div {1 + probes}").cast("int").alias("number"),
+        (F.col("_at") % (1 + probes) == 0).cast("int").alias("home"),
+    )
     cells = (
-        keys.groupBy("key").agg(F.count("*").alias("n"), F.max("home").alias("h"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-        .where("h = 1 and lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        places.groupBy("key", "number").agg(F.count("*").alias("n"), F.max("home").alias("h"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+        .where("h = 1 and lo < hi").select("key", "number", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = keys.join(cells, "key").withColumn("block", block).withColumn(
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = places.join(cells, ["key", "number"]).withColumn("block", block).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     )
     dealt = dealt.select(
-        "key", "id", "home", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+        "key", "number", "node", "home", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
-    full = dealt.join(classes.select("id", F.xxhash64("label").alias("label"), "embedding"), "id")
+    vectors = classes.select("node", F.xxhash64("label").alias("label"), "m", "embedding").join(keys, "node")
     tasks = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sorted_rows = full.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    links = materialise(_meet(sorted_rows, cosine).distinct(), "vector_links")
-    parts = materialise(components(links), "vector_components")
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counted = both.join(classes.select(F.col("id").alias("b"), "m"), "b").groupBy("a").agg(F.sum("m").alias("others"))
+    group = ("key", "number", "i", "j")
+    sorted_rows = dealt.join(vectors, "node").repartition(tasks, *group).sortWithinPartitions(*group)
+    found = materialise(
+        _meet(sorted_rows, cosine, tables).groupBy("node", "root").agg(F.sum("links").alias("links")), "vector_links"
+    )
+    parts = materialise(components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))), "vector_components")
+    counted = found.groupBy("node").agg(F.sum("links").alias("others"))
+    linked = classes.select("node", "id").join(parts, "node")
+    smallest = linked.groupBy("component").agg(F.min("id").alias("component_id"))
     named = (
-        classes.select("k1", "k2", "id", "m")
-        .join(counted.withColumnRenamed("a", "id"), "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
+        classes.select("node", "k1", "k2", "id", "m").join(counted, "node", "left").join(parts, "node", "left").join(smallest, "component", "left")
         .select(
             F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
-            F.coalesce("component", "id").alias("component_id"),
+            F.coalesce("component_id", "id").alias("component_id"),
         )
     )
     out = known.select("id", "k1", "k2").join(named, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left")

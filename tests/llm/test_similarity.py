@@ -114,6 +114,45 @@ def test_near_vectors(spark):
     assert near_vectors(df.where("false")).count() == 0
 
 
+def test_near_vectors_of_one_cell_and_one_id(spark):
+    """A cluster of several blocks, classes of copies in it, and rows that share an id."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=64)
+    near = base + rng.normal(size=(1300, 64)) * 0.02
+    far = rng.normal(size=64)
+    v = np.concatenate([near, near[:50], near[:50], [far, far]]).astype(np.float32)
+    ids = [*range(len(v) - 2), 5, 5000]  # id 5 names a row of the cluster and one far from it
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in zip(ids, v)], "vec_id long, embedding array<float>, label int")
+    unit = v.astype(np.float64)
+    unit /= np.sqrt((unit**2).sum(axis=1))[:, None]
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    got = near_vectors(df.repartition(5)).collect()
+    assert sorted((r["vec_id"], r["n_links"]) for r in got) == sorted(zip(ids, want))
+    assert {r["component_id"] for r in got if r["vec_id"] == 5} == {0, 5} and [r["component_id"] for r in got if r["vec_id"] == 5000] == [5]
+
+
+def test_top_products_of_many_blocks(spark, monkeypatch):
+    """Small blocks, lengths over four decades, repeated ids, vectors of two components: equal to brute force."""
+    from spendguard.llm import topk
+
+    monkeypatch.setattr(topk, "BUCKET", 64)
+    monkeypatch.setattr(topk, "QUERIES", 16)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(900, 2)) * 10 ** rng.uniform(-3, 1, 900)[:, None]
+    ids = np.arange(900)
+    ids[1::9] = ids[::9]  # two vectors under one id
+    q = np.floor(1024 * v).astype(np.int64)
+    df = quantised(spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "vec_id long, embedding array<double>"))
+    asked = df.where("id % 4 = 2 and id % 9 <> 0")
+    got = sorted(tuple(r) for r in top_products(df, asked).collect())
+    want = []
+    for i in np.flatnonzero((ids % 4 == 2) & (ids % 9 != 0)):
+        scores = q @ q[i]
+        order = [j for j in np.lexsort((ids, -scores)) if ids[j] != ids[i]][:10]
+        want += [(int(ids[i]), r + 1, int(ids[j]), int(scores[j])) for r, j in enumerate(order)]
+    assert got == sorted(want)
+
+
 def test_top_products(spark):
     rng = np.random.default_rng(9)
     v = rng.normal(size=(700, 12)) * rng.choice([0.1, 1, 4], 700)[:, None]
