@@ -34,37 +34,41 @@ def quantised(rows: DataFrame, scale: int = 1024, id_col: str = "vec_id", vector
     )
 
 
-def _blocks(rows: DataFrame, size: int, by_length: bool) -> DataFrame:
-    """Blocks of at most `size` vectors of one dimension, the longest first: block, dim, longest, ids, data."""
+def _blocks(rows: DataFrame, size: int, order: str) -> DataFrame:
+    """Blocks of at most `size` vectors of one dimension, the largest `order` (a column; ties by id) first.
+
+    block, dim, longest (vector), least (value of `order`), ids, data, and floors where the rows have a floor.
+    """
+    floored = "floor" in rows.columns
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
         if not got:
             return
         data = pa.Table.from_batches(got).combine_chunks()
-        ids = data.column("id").to_numpy()
+        ids, value = data.column("id").to_numpy(), data.column(order).to_numpy()
+        floor = data.column("floor").to_numpy() if floored else None
         made = []
         for places, matrix in matrices(data.column("v").combine_chunks()):
             length = np.sqrt((matrix.astype(np.float64) ** 2).sum(axis=1))
-            order = np.lexsort((ids[places], -length))
-            for at in range(0, len(order), size):
-                part = order[at : at + size]
-                made.append((matrix.shape[1], float(length[part[0]]), ids[places[part]].tobytes(), matrix[part].astype(np.int64).tobytes()))
+            ranked = np.lexsort((ids[places], -value[places]))
+            for at in range(0, len(ranked), size):
+                part = ranked[at : at + size]
+                here = places[part]
+                made.append((
+                    matrix.shape[1], float(length[part].max()), float(value[here].min()), ids[here].tobytes(),
+                    matrix[part].astype(np.int64).tobytes(), floor[here].tobytes() if floored else None,
+                ))
         base = TaskContext.get().partitionId() << 32
+        kinds = (pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(range(base, base + len(made)), pa.int64()), pa.array([m[0] for m in made], pa.int32()),
-                pa.array([m[1] for m in made], pa.float64()), pa.array([m[2] for m in made], pa.binary()),
-                pa.array([m[3] for m in made], pa.binary()),
-            ],
-            ["block", "dim", "longest", "ids", "data"],
-        )
+            [pa.array(range(base, base + len(made)), pa.int64())] + [pa.array([m[i] for m in made], t) for i, t in enumerate(kinds)],
+            ["block", "dim", "longest", "least", "ids", "data", "floors"],
+        )
 
-    # One task per bucket: sorted by length, ties dealt out by id.
-    tasks = math.ceil(rows.count() / size) or 1
-    squared = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    dealt = rows.repartitionByRange(tasks, squared.desc(), "id") if by_length else rows.repartitionByRange(tasks, "id")
-    return materialise(dealt.mapInArrow(build, "block long, dim int, longest double, ids binary, data binary"), "blocks")
+    tasks = math.ceil(rows.count() / size) or 1  # one task a block
+    schema = "block long, dim int, longest double, least double, ids binary, data binary, floors binary"
+    return materialise(rows.repartitionByRange(tasks, F.col(order).desc(), "id").mapInArrow(build, schema), "blocks")
 
 
 def _open(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,64 +136,57 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
+def _asked(queries: DataFrame, order: str) -> DataFrame:
+    """Blocks of queries under names of their own."""
+    return _blocks(queries, QUERIES, order).select(
+        F.col("block").alias("q_block"), F.col("dim").alias("q_dim"), F.col("least").alias("reach"),
+        F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "floors",
+    )
+
+
 def top_products(vectors: DataFrame, queries: DataFrame, k: int = 10, seed_blocks: int = 2) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the `k` largest inner products of every query (id, v) with the
     rows of `vectors` (id, v), without rows of the query's own id; ties go to the smaller id; all if fewer.
 
     Both tables come from `quantised`, which leaves out vectors with null or non-finite parts. Queries with one
-    id count once. Vectors meet only those of their own dimension. Equal vectors are all candidates.
+    id count once. Vectors meet only those of their own dimension. Equal vectors are all candidates, rows that
+    share an id too.
+
+    The buckets with the longest vectors give every query a floor. Floor / length of the query is the length a
+    vector needs; queries are dealt out again in that order, so that the queries of a block need about the same, and
+    a block of queries only meets buckets that reach what its least demanding query needs.
     """
     spark = vectors.sparkSession
-    buckets = _blocks(vectors, BUCKET, by_length=True)
-    asked = _blocks(queries.dropDuplicates(["id"]), QUERIES, by_length=False).select(
-        F.col("block").alias("q_block"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")
-    )
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    buckets = _blocks(vectors.withColumn("length", length), BUCKET, "length")
+    once = materialise(queries.dropDuplicates(["id"]).withColumn("length", length), "queries")
     slim = buckets.select("block", "dim", "longest")
     rank = Window.partitionBy("dim").orderBy(F.col("longest").desc(), "block")  # of blocks, not of vectors
     ranked = materialise(slim.withColumn("_rank", F.row_number().over(rank)), "bucket_ranks")
-    pairs = materialise(
-        asked.select("q_block", "q_dim").join(ranked, F.col("q_dim") == F.col("dim")).select("q_block", "block", "_rank"), "block_pairs"
-    )
-    # The longest vectors give every query a floor: its k-th best score so far.
-    whole = pairs.join(buckets, "block").join(asked, "q_block")
-    seeds = materialise(_search(whole.where(F.col("_rank") <= seed_blocks).withColumn("floors", F.lit(None).cast("binary")).repartition("q_block", "block"), k), "seeds")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    floors = seeds.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == k).select("query_id", F.col("score").alias("floor"))
-    with_floors = materialise(_floors(asked, floors), "floors")
-    rest = pairs.where(F.col("_rank") > seed_blocks).join(buckets, "block").join(asked, "q_block").join(with_floors, "q_block")
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = seeds.unionByName(_search(rest.repartition(tasks, "q_block", "block"), k))
+
+    def search(asked: DataFrame, fit) -> DataFrame:
+        """Block pairs are settled first; only those left fetch their vectors."""
+        near = asked.select("q_block", "q_dim", "reach").join(ranked, (F.col("q_dim") == F.col("dim")) & fit)
+        pairs = materialise(near.select("q_block", "block"), "block_pairs")
+        whole = pairs.join(buckets.drop("floors", "least"), "block").join(asked.drop("q_dim", "reach"), "q_block")
+        return _search(whole.repartition(tasks, "q_block", "block"), k)
+
+    first = F.col("_rank") <= seed_blocks
+    seeds = materialise(search(_asked(once, "length"), first), "seeds")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    kth = seeds.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == k)
+    floors = kth.select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
+    floor = F.coalesce("floor", F.lit(float("-inf")))  # fewer than k rows are known
+    needed = F.when(F.col("floor") > 0, F.col("floor") / F.col("length")).otherwise(F.lit(0.0))
+    known = once.join(floors, "id", "left").withColumns({"needed": needed, "floor": floor})
+    found = seeds.unionByName(search(_asked(known, "needed"), ~first & (F.col("longest") >= F.col("reach") * (1 - 1e-9))))
     return (
         found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     )
 
 
-def _floors(asked: DataFrame, floors: DataFrame) -> DataFrame:
-    """Per query block its floors in order, minus infinity where fewer than k rows are known."""
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["q_ids"], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["q_block"]] * len(ids), pa.int64()), pa.array(range(len(ids)), pa.int32()), pa.array(ids)],
-                    ["q_block", "at", "query_id"],
-                )
-
-    listed = asked.select("q_block", "q_ids").mapInArrow(unpack, "q_block long, at int, query_id long")
-    known = listed.join(floors, "query_id", "left").select(
-        "q_block", F.struct("at", F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))).alias("floor")).alias("_f")
-    )
-    lists = known.groupBy("q_block").agg(F.array_sort(F.collect_list("_f")).alias("_f"))  # at most QUERIES each
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blobs = [np.array([f["floor"] for f in one], np.float64).tobytes() for one in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["q_block", "floors"])
-
-    return lists.mapInArrow(pack, "q_block long, floors binary")
-
-
 @query("op5_topk")
 def op5_topk(spark, sf_dir):
     vectors = materialise(quantised(table(spark, sf_dir, "embeddings")), "quantised")
