@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import functions as F
 
 from checks.base import (
@@ -25,6 +28,8 @@ from spendguard.functions import audit_score, category_key
 from spendguard.operators import features, metrics, profile, stats
 from spendguard.operators.quantiles import exact_quantiles
 from spendguard.operators.rank import top_per_category
+from spendguard.operators.summaries import QUANTILES, merge_summaries, new_values, store_summaries, stored_summaries, summarise
+from spendguard.scratch import materialise, scratch_path
 
 
 def iqr_ranked(spark, sf_dir):
@@ -349,3 +354,61 @@ def fences_of_lineitem(spark, sf_dir):
     train = adjusted_lineitems(spark, sf_dir).where(F.col("split") == "train").withColumn("category_key", F.col("verba"))
     found = iqr_fences(train, PARAMS)
     return found.select("category_key", *[F.round(c, 4).alias(c) for c in ("q1", "q3", "lower", "upper")])
+
+
+_SUMMARISED = {"l_quantity": "double", "l_extendedprice": "double", "l_suppkey": "bigint"}
+
+
+def _stored_by_year(spark, rows, part):
+    """Summaries of all parts but the last; then the last one is added without reading the others again."""
+    path = scratch_path(spark, "summaries")
+    last = rows.agg(F.max(part)).first()[0]
+    store_summaries(summarise(rows.where(F.col(part) < last), part), path)
+    store_summaries(summarise(rows.where(F.col(part) == last), part), path)
+    return stored_summaries(spark, path)
+
+
+@query(
+    "merged_year_summaries",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS column, '{t}' AS type, count(*) AS n, count(*) - count({c}) AS n_null, round(avg({c}), 4) AS mean,
+        round(stddev_samp({c}), 4) AS std, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, TRUE AS distinct_close, TRUE AS ranks_close FROM lineitem"""
+        for c, t in _SUMMARISED.items()
+    ),
+)
+def merged_year_summaries(spark, sf_dir):
+    """Profiles merged from stored years; the estimates are held against exact counts over the whole table."""
+    lines = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("year"), *_SUMMARISED)
+    found = materialise(merge_summaries(_stored_by_year(spark, lines, "year")), "merged")
+    long = lines.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in _SUMMARISED])).alias("_p")).select("_p.*")
+    exact = long.groupBy("column", "v").agg(F.count("*").alias("c")).join(found, "column").groupBy("column").agg(
+        F.count("*").alias("values"),
+        *[F.sum(F.when(F.col("v") < F.col(q), F.col("c")).otherwise(0)).alias(f"below_{q}") for q in QUANTILES],
+        *[F.sum(F.when(F.col("v") <= F.col(q), F.col("c")).otherwise(0)).alias(f"upto_{q}") for q in QUANTILES],
+    )
+    ranks = [
+        (F.col(f"below_{q}") <= (p + 0.01) * F.col("n")) & (F.col(f"upto_{q}") >= (p - 0.01) * F.col("n")) for q, p in QUANTILES.items()
+    ]
+    return found.join(exact, "column").select(
+        "column", "type", "n", "n_null", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "min", "max",
+        (F.abs(F.col("n_distinct") - F.col("values")) <= F.lit(0.04) * F.col("values")).alias("distinct_close"),
+        reduce(and_, ranks).alias("ranks_close"),
+    )
+
+
+@query(
+    "new_spenders_by_year",
+    """WITH y AS (SELECT DISTINCT year(o_orderdate)::VARCHAR AS part, o_custkey FROM orders),
+    f AS (SELECT o_custkey, min(part) AS part FROM y GROUP BY ALL), d AS (SELECT part, count(*) AS n_distinct FROM y GROUP BY ALL),
+    s AS (SELECT part, count(*) AS n_new FROM f GROUP BY ALL),
+    g AS (SELECT (y.part::INT + 1)::VARCHAR AS part, count(*) AS n_gone FROM y LEFT JOIN y AS z ON z.o_custkey = y.o_custkey
+    AND z.part::INT = y.part::INT + 1 WHERE z.part IS NULL GROUP BY ALL)
+    SELECT part, n_distinct, coalesce(n_new, 0) AS n_new, coalesce(n_gone, 0) AS n_gone,
+    (sum(coalesce(n_new, 0)) OVER (ORDER BY part))::BIGINT AS n_seen FROM d LEFT JOIN s USING (part) LEFT JOIN g USING (part)""",
+)
+def new_spenders_by_year(spark, sf_dir):
+    """Spenders that are new or gone in a year, from stored sketches; exact up to 2^20 spenders."""
+    spenders = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), "o_custkey")
+    path = scratch_path(spark, "spenders")
+    store_summaries(summarise(spenders, theta=20), path)
+    return new_values(stored_summaries(spark, path), theta=20).drop("column")
