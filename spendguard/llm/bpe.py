@@ -21,7 +21,14 @@ _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _PLAIN = re.compile(r"[\x00-\u024f\u2010-\u2027\u2030-\u205e]*")
 
 
+# White space that is neither a space nor a line feed.
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+
+
 def _segments(text: str) -> list[str]:
+    if not _OTHER_SPACE.search(text):  # most texts: plain searches for what touches a space
+        if not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "):
+            return text.split(" ")
     return _SAFE_SPACE.split(text) if _UNSAFE.search(text) else text.split(" ")
 
 

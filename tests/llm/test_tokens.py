@@ -89,3 +89,15 @@ def test_digests(spark, library):
         assert (row["doc_id"], row["piece"], row["start"], row["length"]) == (doc, piece, start, length)
         assert row["ids_crc32"] == zlib.crc32(array("I", part).tobytes())
     assert got[-1]["doc_id"] == 2 and got[-1]["length"] == 1
+
+
+def test_segments_by_plain_searches_equal_the_pattern():
+    import random
+
+    from spendguard.llm import bpe
+
+    rng = random.Random(5)
+    for _ in range(50_000):
+        text = "".join(rng.choice(" \n\t\u2003\x1cab") if rng.random() < 0.6 else rng.choice(" abc") for _ in range(rng.randint(0, 9)))
+        want = bpe._SAFE_SPACE.split(text) if bpe._UNSAFE.search(text) else text.split(" ")
+        assert bpe._segments(text) == want
