@@ -420,3 +420,18 @@ def test_dense_points_equal_standardised_columns(data):
     x = dense_points(part[SPACE.point].to_numpy(float), [np.array(row.share_fav_bucket), np.array(row.share_cta_bucket)], SPACE)
     _, want = dense(pdf, "BIG")
     assert np.allclose(x, want)
+
+
+def test_shared_neighbours_meet_as_arrays(spark):
+    """Pairs of a record and the classes next to it are counted in a task and never shuffled as rows."""
+    lists = [("A", i, [i % 4, (i * 3) % 5 + 10, (i * 7) % 6 + 20]) for i in range(60)]
+    df = materialise(spark.createDataFrame(lists, "category_key string, record_id long, near array<long>"), "shared_lists")
+    seen = {}
+    for piece in (2_000, 20, 1):  # no neighbour, some or every neighbour is a hub
+        got = {r.record_id: r.members for r in sod.reference_sets(df, df, 5, piece).collect()}
+        for _, i, near in lists:
+            shared = sorted((-len(set(near) & set(o)), j) for _, j, o in lists if j != i and set(near) & set(o))
+            assert got[i] == [j for _, j in shared[:5]]
+        seen[piece] = got
+    counted = next(sod._most_shared(2)(iter([pd.DataFrame({"category_key": ["A"], "asker": [1], "classes": [np.array([5, 3, 3, 4, 4])]})])))
+    assert counted[["class", "_shared"]].to_numpy().tolist() == [[3, 2], [4, 2]] and seen[1] == seen[2_000]
