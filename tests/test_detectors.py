@@ -15,8 +15,8 @@ from spendguard.detectors.iforest import average_path, fit_iforest, score_ifores
 from spendguard.detectors.lof import lof_reference
 from spendguard.detectors.neighbors import nearest, pack_blocks
 from spendguard.detectors.ocsvm import GAP, RandomFeatures, fit_ocsvm, score_ocsvm, shortest_mean
-from spendguard.detectors.silhouette import squared_silhouette
-from spendguard.detectors.space import Space, apply_scaler, dense_points, fit_buckets, fit_scaler, shares_by_category
+from spendguard.detectors.silhouette import silhouette, squared_silhouette
+from spendguard.detectors.space import Space, apply_scaler, dense_points, fit_buckets, fit_scaler, shares_by_category, squared_distances
 from spendguard.operators.explain import TreeShap, tree_shap
 from spendguard.params import Params
 from spendguard.scratch import materialise
@@ -435,3 +435,31 @@ def test_shared_neighbours_meet_as_arrays(spark):
         seen[piece] = got
     counted = next(sod._most_shared(2)(iter([pd.DataFrame({"category_key": ["A"], "asker": [1], "classes": [np.array([5, 3, 3, 4, 4])]})])))
     assert counted[["class", "_shared"]].to_numpy().tolist() == [[3, 2], [4, 2]] and seen[1] == seen[2_000]
+
+
+@pytest.mark.parametrize("block_rows", [7, 10_000])
+def test_silhouette_of_all_pairs_in_blocks(spark, block_rows):
+    rng = np.random.default_rng(5)
+    n = 90
+    pdf = pd.DataFrame({"record_id": range(n), "category_key": np.repeat(["A", "B", "C"], n // 3)})
+    for c in SPACE.z:
+        pdf[c] = rng.normal(size=n) + 40
+    for b in SPACE.buckets:
+        pdf[b], pdf[f"w_{b}"] = rng.integers(0, 3, n).astype("int32"), 4.0
+    pdf = pd.concat([pdf, pdf.iloc[:6]], ignore_index=True)  # copies, at distance 0
+    label = (rng.random(len(pdf)) < 0.3).astype(int)
+    label[pdf["category_key"] == "C"] = 0  # one label only
+    pdf["labels"] = [[int(v), int(i % 2)] for i, v in enumerate(label)]
+    got = {(r.category_key, r.labelling): r.silhouette for r in silhouette(spark.createDataFrame(pdf), SPACE, block_rows).collect()}
+    want = {}
+    for category, part in pdf.groupby("category_key"):
+        x = part[SPACE.point].to_numpy(float)
+        d = np.sqrt(squared_distances(x, x, len(SPACE.numeric), len(SPACE.buckets)))
+        for k, own in enumerate(np.stack(part["labels"].to_numpy()).T):
+            if own.min() == own.max():
+                continue
+            same = own[:, None] == own
+            inside, outside = (d * same).sum(1) / (same.sum(1) - 1), (d * ~same).sum(1) / (~same).sum(1)
+            want[category, k] = np.mean((outside - inside) / np.maximum(inside, outside))
+    assert got.keys() == want.keys() and len(got) == 5
+    assert all(abs(got[k] - want[k]) < 1e-10 for k in want)
