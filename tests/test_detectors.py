@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from spendguard.detectors import gmm, neighbors, sod
+from spendguard.detectors import gmm, neighbors, ocsvm, sod
 from spendguard.detectors.gmm import Layout, Mixture, cluster_weighted, fit_gmm, fit_mixtures, log_sum, score_gmm
 from spendguard.detectors.grouped import map_with_model
 from spendguard.detectors.iforest import average_path, fit_iforest, score_iforest
@@ -437,6 +437,28 @@ def test_shared_neighbours_meet_as_arrays(spark):
     assert counted[["class", "_shared"]].to_numpy().tolist() == [[3, 2], [4, 2]] and seen[1] == seen[2_000]
 
 
+def test_svm_reads_rows_of_unready_categories_and_sums_low_bins(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"record_id": range(400), "category_key": np.repeat(["A", "B"], 200), "z_a": rng.normal(size=400)})
+    space = Space(numeric=("a",), buckets=(), sizes=(), names=())
+    points = materialise(spark.createDataFrame(pdf), "svm_rows")
+    features = RandomFeatures(space, 1)
+    w = np.ones(ocsvm.FEATURES)
+    state = lambda whole: spark.createDataFrame(
+        [("A", bytearray(w.tobytes()), -1.0, 0.0, False, whole), ("B", bytearray(w.tobytes()), -1.0, 0.0, True, whole)],
+        "category_key string, weights binary, low double, high double, ready boolean, whole boolean",
+    )
+    given = []
+    kept = ocsvm.map_with_model
+    monkeypatch.setattr(ocsvm, "map_with_model", lambda rows, *args, **more: (given.append(rows), kept(rows, *args, **more))[1])
+    low, every = (ocsvm._added(ocsvm._bin_sums(points, state(x), features).toPandas()) for x in (False, True))
+    assert given[0].select("category_key").distinct().collect() == [("A",)]
+    assert low["n"].tolist() == every["n"].tolist() and low["n"].sum() == 200
+    for a, b, at in zip(low["total"], every["total"], low["bin"]):
+        b = np.frombuffer(b)
+        assert np.allclose(np.frombuffer(a), 0 if at == ocsvm._BINS - 1 else b) and np.abs(b).sum() > 0
+
+
 @pytest.mark.parametrize("block_rows", [7, 10_000])
 def test_silhouette_of_all_pairs_in_blocks(spark, block_rows):
     rng = np.random.default_rng(5)
