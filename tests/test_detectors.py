@@ -437,6 +437,24 @@ def test_shared_neighbours_meet_as_arrays(spark):
     assert counted[["class", "_shared"]].to_numpy().tolist() == [[3, 2], [4, 2]] and seen[1] == seen[2_000]
 
 
+def test_svm_vector_that_stays_gets_fine_bins():
+    """Wide bins around a lone vertex that stays the best would find the same vertex in every later pass."""
+    w = np.zeros(ocsvm.FEATURES)
+    w[0] = 0.6
+    state = {
+        "category_key": "A", "weights": w.tobytes(), "vertices": w.tobytes(), "low": -0.85, "high": 0.85, "rho": 0.0,
+        "gap": 0.0, "passes": 4, "ready": False, "whole": False,
+    }
+    longer = w * 1.001
+    bins = pd.DataFrame(
+        {"category_key": "A", "bin": [40, 63], "n": [1000, 5000], "least": [0.33, 0.4], "most": [0.38, 0.5],
+         "total": [(1000 * longer).tobytes(), bytes(w.nbytes)]}
+    )
+    after = ocsvm._improved(pd.DataFrame([state]), bins, 0.1, 40).iloc[0]
+    assert not after["ready"] and after["weights"] == w.tobytes()
+    assert 0.25 < after["low"] < after["rho"] < after["high"] < 0.47
+
+
 def test_svm_reads_rows_of_unready_categories_and_sums_low_bins(spark, monkeypatch):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"record_id": range(400), "category_key": np.repeat(["A", "B"], 200), "z_a": rng.normal(size=400)})
