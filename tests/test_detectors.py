@@ -437,6 +437,37 @@ def test_shared_neighbours_meet_as_arrays(spark):
     assert counted[["class", "_shared"]].to_numpy().tolist() == [[3, 2], [4, 2]] and seen[1] == seen[2_000]
 
 
+def test_neighbour_lists_in_parts_and_of_repeated_records(spark, monkeypatch):
+    """Blocks in several parts and records with several rows get one merged list, the others their list as it is."""
+    monkeypatch.setattr(neighbors, "_PAIRS_PER_PART", 2)
+    rng = np.random.default_rng(5)
+    space = Space(numeric=("a", "b"), buckets=(), sizes=(), names=())
+    ids = np.r_[np.arange(300), np.arange(5)]  # five records have a second row
+    z = rng.standard_normal((305, 2))
+    rows = [("A", int(i), float(x), float(y)) for i, (x, y) in zip(ids, z)]
+    df = spark.createDataFrame(rows, "category_key string, record_id bigint, z_a double, z_b double")
+    blocks = pack_blocks(df, space, block_points=8)
+    got = {r.record_id: (r.dist, r.near) for r in nearest(blocks, blocks, 4, space, exclude_self=True).collect()}
+    assert len(got) == 300
+    d = ((z[:, None] - z[None]) ** 2).sum(2)
+    for i in range(300):
+        pairs = sorted((d[q, r], int(ids[r])) for q in np.flatnonzero(ids == i) for r in range(305) if ids[r] != i)[:4]
+        assert got[i][1] == [r for _, r in pairs]
+        assert got[i][0] == pytest.approx([x**0.5 for x, _ in pairs], abs=1e-9)
+
+
+def test_far_search_goes_on_from_known_lists(monkeypatch):
+    """References beyond the lists so far are not measured, and a team's blocks are held once."""
+    blob = lambda *x: np.array(x).tobytes()
+    columns = ["category_key", "team", "part", "is_ref", "block", "ids", "pts", "targets", "dist", "near"]
+    ids = np.array([1, 2]).tobytes()
+    query = ("A", 1, 0, False, 1, ids, blob(0.0, 1.0), [], blob(0.25, 0.25), np.array([7, 8]).tobytes())
+    far = ("A", 1, 0, True, 9, np.array([9, 10]).tobytes(), blob(5.0, 6.0), [1], None, None)
+    monkeypatch.setattr(neighbors, "rough_distances", None)  # would fail
+    out = list(neighbors._nearest_in_teams(1, 1, 0, False)(iter([pd.DataFrame([query, far], columns=columns)])))
+    assert len(out) == 1 and out[0]["near"][0] == np.array([7, 8]).tobytes() and out[0]["dist"][0] == blob(0.25, 0.25)
+
+
 def test_svm_vector_that_stays_gets_fine_bins():
     """Wide bins around a lone vertex that stays the best would find the same vertex in every later pass."""
     w = np.zeros(ocsvm.FEATURES)
