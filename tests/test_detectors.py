@@ -548,3 +548,30 @@ def test_silhouette_of_all_pairs_in_blocks(spark, block_rows):
             want[category, k] = np.mean((outside - inside) / np.maximum(inside, outside))
     assert got.keys() == want.keys() and len(got) == 5
     assert all(abs(got[k] - want[k]) < 1e-10 for k in want)
+
+
+@pytest.mark.parametrize("with_blocks", [False, True])
+def test_reference_sets_send_a_neighbour_once_to_a_block(spark, with_blocks, monkeypatch):
+    """Classes travel to blocks, not to records; the blocks do not change the sets, with copies and repeated ids too."""
+    rng = np.random.default_rng(8)
+    near = {i: sorted(rng.choice(np.r_[0:i, i + 1 : 40], 6, replace=False).tolist()) for i in range(40)}
+    near |= {40: near[3], 41: near[3]}
+    pdf = pd.DataFrame([{"category_key": "A", "record_id": i, "near": n, "block": i // 14} for i, n in near.items()])
+    pdf = pd.concat([pdf, pdf[pdf["record_id"] == 7]])
+    df = materialise(spark.createDataFrame(pdf, "category_key string, record_id bigint, near array<bigint>, block bigint"), "sod_lists")
+    sent = []
+
+    def watched(table, name="table"):
+        done = materialise(table, name)
+        sent.append((name, done))
+        return done
+
+    monkeypatch.setattr(sod, "materialise", watched)
+    got = {r.record_id: r.members for r in sod.reference_sets(df if with_blocks else df.drop("block"), df if with_blocks else df.drop("block"), 5).collect()}
+    for i, mine in near.items():
+        shared = sorted((-len(set(mine) & set(n)), j) for j, n in [*near.items(), (7, near[7])])
+        expected = [j for n, j in shared if n < 0][:6]
+        assert got[i] == [j for j in expected if j != i][:5]
+    if with_blocks:
+        listing = dict(sent)["sod_listing"].toPandas()
+        assert len(listing) == len({(n, min(i, *[j for j in near if near[j] == near[i]]) // 14) for i in near for n in near[i]})
