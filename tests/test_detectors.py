@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from spendguard.detectors import gmm, neighbors, ocsvm, sod
+from spendguard.detectors import gmm, lof, neighbors, ocsvm, sod
 from spendguard.detectors.gmm import Layout, Mixture, cluster_weighted, fit_gmm, fit_mixtures, log_sum, score_gmm
 from spendguard.detectors.grouped import map_with_model
 from spendguard.detectors.iforest import average_path, fit_iforest, score_iforest
@@ -575,3 +575,65 @@ def test_reference_sets_send_a_neighbour_once_to_a_block(spark, with_blocks, mon
     if with_blocks:
         listing = dict(sent)["sod_listing"].toPandas()
         assert len(listing) == len({(n, min(i, *[j for j in near if near[j] == near[i]]) // 14) for i in near for n in near[i]})
+
+
+def test_far_search_skips_boxes_beyond_the_lists(monkeypatch):
+    """A box that lies beyond what the lists have become since the pair was chosen is not looked at, nearer ones are."""
+    blob = lambda *x: np.array(x).tobytes()
+    columns = ["category_key", "team", "part", "is_ref", "block", "ids", "pts", "targets", "gaps", "dist", "near"]
+    query = ("A", 1, 0, False, 1, np.array([1, 2]).tobytes(), blob(0.0, 1.0), [], [], blob(9.0, 9.0), np.array([7, 8]).tobytes())
+    close = ("A", 1, 0, True, 3, np.array([3, 4]).tobytes(), blob(1.5, 2.5), [1], [0.25], None, None)
+    far = ("A", 1, 0, True, 9, np.array([9, 10]).tobytes(), blob(4.0, 5.0), [1], [9.0], None, None)
+    looked = []
+    kept = neighbors._take_nearer
+    monkeypatch.setattr(neighbors, "_take_nearer", lambda *a: looked.append(a[6].tolist()) or kept(*a))
+    out = list(neighbors._nearest_in_teams(1, 1, 0, False)(iter([pd.DataFrame([query, close, far], columns=columns)])))
+    assert looked == [[3, 4]]
+    assert np.frombuffer(out[0]["near"][0], np.int64).tolist() == [3, 3] and np.frombuffer(out[0]["dist"][0]).tolist() == [2.25, 0.25]
+
+
+def test_parts_of_a_block_are_merged_as_arrays():
+    dist, near = np.array([[1.0, 4.0, 1.0, np.inf], [2.0, np.inf, 3.0, 5.0]]), np.array([[9, 3, 2, -1], [5, -1, 6, 7]])
+    got = neighbors._merged_parts(dist, near, 3)
+    assert got[0].tolist() == [[1.0, 1.0, 4.0], [2.0, 3.0, 5.0]] and got[1].tolist() == [[2, 9, 3], [5, 6, 7]]
+
+
+@pytest.mark.parametrize("with_blocks", [False, True])
+def test_lof_sends_a_neighbour_once_to_a_block(spark, with_blocks):
+    """Neighbours travel to blocks, not to records; unknown ones do not count and a repeated one counts twice."""
+    near = {1: [2, 3], 2: [3, 1], 3: [2, 9], 4: [9]}
+    lists = [("A", i, 0, [float(i + j) for j in range(len(n))], n) for i, n in near.items()]
+    found = spark.createDataFrame(lists, "category_key string, record_id bigint, block bigint, dist array<double>, near array<bigint>")
+    refs = [("A", i, 2, i / 2, float(i)) for i in (1, 2, 3, 3)]
+    reference = spark.createDataFrame(refs, "category_key string, record_id bigint, best_k int, k_distance double, density double")
+    fed = found if with_blocks else found.drop("block")
+    got = {r.record_id: r.score for r in lof.lof_score(fed, reference).collect()}
+    edges = {i: [(r, d) for n, d in zip(near[i], l[3]) for r in refs if r[1] == n] for i, l in zip(near, lists)}
+    want = {i: np.mean([r[4] for r, _ in e]) * (np.mean([max(d, r[3]) for r, d in e]) + 1e-10) for i, e in edges.items() if e}
+    assert got == pytest.approx(want) and 4 not in got
+    pairs = lof._meet(
+        fed.coalesce(1), reference, lambda left, edges: {"n": np.full(left.num_rows, edges.known.num_rows)}, "category_key string, record_id bigint, n bigint"
+    )
+    assert {r.n for r in pairs.collect()} == {4}  # 1, 2, 3 and 3 for the block, of 6 known neighbours
+
+
+def test_references_are_listed_once_for_all_scorings(spark, data, monkeypatch):
+    """Classes, counts and shares of a reference table are written at its first scoring only."""
+    _, _, points, buckets = data
+    blocks = pack_blocks(points, SPACE)
+    found = materialise(nearest(blocks, blocks, sod.NEIGHBORS, SPACE, exclude_self=True), "sod_found")
+    reference = sod.sod_reference(points, found, buckets, SPACE)
+    written = []
+    monkeypatch.setattr(sod, "keep", lambda df, name: written.append(name) or materialise(df, name))
+    first, second = (sod.score_sod(points, found, reference, SPACE).orderBy("category_key", "record_id").collect() for _ in range(2))
+    assert first == second and {"sod_listing", "sod_shares"} <= set(written) and len(written) == len(set(written))
+
+
+def test_model_is_read_in_one_job(spark, data):
+    _, _, points, _ = data
+    model = spark.range(2).selectExpr("if(id = 0, 'BIG', 'SMALL') category_key", "id * 5 + 1 bonus")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("read_model", "read_model")
+    map_with_model(points, model, lambda rows, known: rows, points.schema.simpleString()[7:-1].replace(":", " "), 8, laid_out=True)
+    assert len(tracker.getJobIdsForGroup("read_model")) == 1
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
